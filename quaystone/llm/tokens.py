@@ -1,13 +1,14 @@
-"""Token ids by a public byte-level BPE, through a cache of pre-tokens.
+"""Token ids by a public byte-level BPE.
 
-A byte-level BPE never merges across pre-tokens, so a text's ids are the ids of its pre-tokens in order. The pre-tokenisation pattern is
-the public one that goes with the vocabulary; texts with characters on which two Unicode versions could differ, or with the spelling of a
-special token, go through the tokenizer whole.
+The ids are those of the tokenizer in the JSON file. Where its merges are in the order of its ids, as they are in the published vocabulary,
+the same BPE runs in the faster of the two public libraries, on the vocabulary of that very file. Texts with characters on which two Unicode
+versions could differ, or with the spelling of a special token, go through the tokenizer itself, and so does all if the order differs.
 """
 
 from __future__ import annotations
 
 import array
+import json
 
 import regex
 
@@ -25,32 +26,55 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The published spelling of bytes in a byte-level vocabulary: printable Latin-1 as itself, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    out = {chr(b): b for b in plain}
+    return out | {chr(0x100 + i): b for i, b in enumerate(x for x in range(256) if x not in plain)}
+
+
+def fast_bpe(path: str):
+    """The file's vocabulary in tiktoken, if rank by id is rank by merge; else None."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, merges = model["vocab"], model["merges"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    made = [vocab.get(a + b, -1) for a, b in pairs]
+    if made != list(range(256, 256 + len(made))):
+        return None
+    of = byte_alphabet()
+    ranks = {bytes(of[c] for c in t): i for t, i in vocab.items() if i < 256 + len(made)}
+    return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
+
+
 class Encoder(dict):
-    """Maps a pre-token to its ids as little-endian unsigned 32-bit bytes."""
+    """Maps a pre-token to its ids as little-endian unsigned 32-bit bytes; ``encode`` does so for a text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.fast = fast_bpe(path)
 
     def whole(self, text: str) -> bytes:
-        ids = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
-        return ids.tobytes()
+        return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is None or UNSURE.search(text):
+            return self.whole(text)
+        return array.array("I", self.fast.encode_ordinary(text)).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        out = self.whole(piece)
+        out = self.encode(piece)
         if len(piece) <= LONGEST:
             if len(self) >= CACHE:
                 self.clear()
             self[piece] = out
         return out
 
-    def encode(self, text: str) -> bytes:
-        if UNSURE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, PRETOKEN.findall(text)))
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
