@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, sharding, simhash
+from . import brown, decontaminate, edit_counts, exact_dedup, kneser_ney, packing, sharding, simhash, suffix_dedup, warc_index
 
 QUERIES = {
+    "op1_warc_index": warc_index.op1_warc_index,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_edit_counts": edit_counts.op3_edit_counts,
+    "op4_brown_lm": brown.op4_brown_lm,
     "op5_packing": packing.op5_packing,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_sharding": sharding.op8_sharding,
+    "op9_quality": kneser_ney.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
 SQL = {"op2_exact_dedup": exact_dedup.SQL, "op8_sharding": sharding.SQL}
