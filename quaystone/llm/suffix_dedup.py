@@ -8,7 +8,9 @@ is found among the suffixes that start at anchors; a run is a stretch of windows
    combined first. Each bucket sorts them by multikey quicksort on (leading bytes, hash of the anchor's GRAM bytes, hash of the run with
    its 200 bytes of context) and compares neighbours. Runs with equal context repeat as a whole. Runs whose anchor has other
    contexts too, or lies at a bucket's edge (where the next bucket may go on with it), are left for step 2. The others are unique.
-2. Only for runs left over, every window's own suffix of 200 bytes is compared, by a 64-bit hash; combined, dealt by value and sorted.
+2. Only for runs left over, every window's own suffix of 200 bytes is compared, by a 64-bit hash. Equal windows have equal anchors, so
+   runs of an anchor that few runs share travel once, as their bytes, to the bucket of the anchor; where many share it, or a bucket's edge
+   may cut the anchor's runs in two, each window travels by itself and is dealt by its own hash, so that no bucket gets too much.
 3. Repeated windows come back to their documents as intervals; what they cover is cut out.
 """
 
@@ -30,13 +32,16 @@ SEGMENT = 1 << 20
 #: Documents, and anchors of each, from which splitters are taken: for balance only.
 SAMPLE_DOCS, SAMPLE_ANCHORS = 2000, 64
 SINGLE, DECIDED, REST = 0, 2, 3
+#: Most distinct contexts of an anchor that go to one bucket as bytes.
+FEW = 2000
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 RUNS = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("lead", pa.int64()), ("ah", pa.int64()), ("fp", pa.int64()), ("d", pa.int64()), ("th", pa.int32()), ("iv", pa.int64())])
-MARKS = pa.schema([("kind", pa.int8()), ("d", pa.int64()), ("th", pa.int32()), ("iv", pa.int64())])
-WINDOWS = pa.schema([("fp", pa.int64()), ("kind", pa.int8()), ("d", pa.int64()), ("th", pa.int32()), ("iv", pa.int64())])
+MARKS = pa.schema([("kind", pa.int8()), ("d", pa.int64()), ("th", pa.int32()), ("iv", pa.int64()), ("ah", pa.int64())])
+MARKS_DDL = "kind byte, d long, th int, iv long, ah long"
+WINDOWS = pa.schema([("key", pa.int64()), ("kind", pa.int8()), ("d", pa.int64()), ("th", pa.int32()), ("iv", pa.int64()), ("bytes", pa.binary())])
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
@@ -213,8 +218,10 @@ def _columns(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> list[np.nd
     return [np.concatenate(x) for x in zip(*held, strict=True)] if held else [np.zeros(0, f.type.to_pandas_dtype()) for f in schema]
 
 
-def _marks(kind, d, th, iv) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((kind, d, th, iv), MARKS, strict=True)], schema=MARKS)
+def _marks(kind, d, th, iv, ah=None) -> pa.RecordBatch:
+    """Marks of runs; ah is the anchor where a run's bytes are to travel, null where its windows are or where it is decided."""
+    ah = pa.nulls(len(d), pa.int64()) if ah is None else ah
+    return pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((kind, d, th, iv, ah), MARKS, strict=True)], schema=MARKS)
 
 
 def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,24 +240,35 @@ def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         new_f = new_a | np.concatenate([[True], f[1:] != f[:-1]])
         group_f, group_a = np.cumsum(new_f) - 1, np.cumsum(new_a) - 1
         again = (np.bincount(group_f) > 1)[group_f] | np.logical_or.reduceat(k == REST, np.flatnonzero(new_f))[group_f]
-        several = np.bincount(group_a, weights=new_f)[group_a] > 1
+        contexts = np.bincount(group_a, weights=new_f)[group_a]
         edge = (group_a == 0) | (group_a == group_a[-1])
-        lonely = ~again & (several | edge)
+        lonely = ~again & ((contexts > 1) | edge)
         yes = again & (k == SINGLE)
         yield _marks(np.full(yes.sum(), DECIDED), d[rows[yes]], th[rows[yes]], iv[rows[yes]])
         wanted = np.bincount(group_a, weights=lonely)[group_a] > 0
         rest = again & new_f & (wanted | edge)
-        yield _marks(np.full(lonely.sum(), SINGLE), d[rows[lonely]], th[rows[lonely]], iv[rows[lonely]])
-        yield _marks(np.full(rest.sum(), REST), d[rows[rest]], th[rows[rest]], iv[rows[rest]] | 1)
+        whole = ~edge & (contexts <= FEW)
+        for some, what in ((lonely, SINGLE), (rest, REST)):
+            yield _marks(np.full(some.sum(), what), d[rows[some]], th[rows[some]], iv[rows[some]] | (what == REST), pa.array(a[some], mask=~whole[some]))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, map side: the hash of every window of the runs left over; those that occur again in the batch are decided here."""
+    """Step 2, map side: the bytes of runs, by anchor, or the hashes of their windows; windows that occur again in the batch are decided here."""
     for b in batches:
         doc, th = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-        lists = [np.array(x, np.int64) for x in b.column(3).to_pylist()]
+        texts = b.column(2).to_pylist()
+        lists: list[np.ndarray] = []
+        whole: list[tuple] = []
+        for i, runs in enumerate(b.column(3).to_pylist()):
+            lists.append(np.array([r["iv"] for r in runs if r["ah"] is None], np.int64))
+            for r in runs:
+                if r["ah"] is not None:
+                    p, n = r["iv"] >> 32, (r["iv"] & 0xFFFFFFFF) >> 1
+                    whole.append((r["ah"], REST if r["iv"] & 1 else SINGLE, doc[i], th[i], r["iv"], texts[i][p : p + n - 1 + WINDOW]))
+        for at in range(0, len(whole), 8192):
+            yield common.batch(WINDOWS, **dict(zip(WINDOWS.names, zip(*whole[at : at + 8192]), strict=True)))
         parts = []
-        for buf, text, at, edge in _segments(b.column(2).to_pylist()):
+        for buf, text, at, edge in _segments([t if len(x) else b"" for t, x in zip(texts, lists, strict=True)]):
             prefix = _prefix(buf)
             for i, place, lo, hi in zip(text.tolist(), at.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 p, n = lists[i] >> 32, (lists[i] & 0xFFFFFFFF) >> 1
@@ -266,34 +284,48 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again, first = _combine(fp)
         on = ~again | first
         kind = np.where(again | rest, REST, SINGLE)[on]
-        yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((fp[on].view(np.int64), kind, doc[text[on]], th[text[on]], _iv(w[on], np.ones(on.sum()))), WINDOWS, strict=True)], schema=WINDOWS)
+        none = pa.nulls(int(on.sum()), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((fp[on].view(np.int64), kind, doc[text[on]], th[text[on]], _iv(w[on], np.ones(on.sum())), none), WINDOWS, strict=True)], schema=WINDOWS)
         yes = np.flatnonzero(again & ~rest)
         yes = yes[np.lexsort([w[yes], text[yes]])]
         k, s, c = _merge(text[yes], w[yes], np.ones(len(yes), np.int64))
         if len(k):
             spread = _mix(s.astype(U) + k.astype(U)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((spread, np.full(len(k), DECIDED), doc[k], th[k], _iv(s, c)), WINDOWS, strict=True)], schema=WINDOWS)
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip((spread, np.full(len(k), DECIDED), doc[k], th[k], _iv(s, c), pa.nulls(len(k), pa.binary())), WINDOWS, strict=True)], schema=WINDOWS)
 
 
 def _compare_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    fp, kind, d, th, iv = _columns(batches, WINDOWS)
-    if not len(fp):
+    """Step 2, bucket: sort the windows' hashes and compare neighbours."""
+    parts = []
+    for b in batches:
+        kind, d, th, iv = (b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+        done = kind == DECIDED
+        if done.any():
+            yield _marks(kind[done], d[done], th[done], iv[done])
+        single = np.flatnonzero(~done & b.column(5).is_null().to_numpy(zero_copy_only=False))
+        parts.append((b.column(0).to_numpy(zero_copy_only=False)[single].view(U), kind[single], d[single], th[single], iv[single] >> 32))
+        for buf, row, at, edge in _segments([x or b"" for x in b.column(5).to_pylist()]):
+            # every window of every run's bytes; a run is far shorter than a segment, so that each is one piece
+            n = np.diff(edge) - WINDOW + 1
+            w = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            s = w + np.repeat(edge[:-1], n)
+            r = np.repeat(row, n)
+            parts.append((_hashes(_prefix(buf), s, s + WINDOW), kind[r], d[r], th[r], (iv[r] >> 32) + w))
+    if not parts:
         return
-    done = kind == DECIDED
-    yield _marks(kind[done], d[done], th[done], iv[done])
-    rows = np.flatnonzero(~done)
-    if not len(rows):
+    fp, kind, d, th, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if not len(fp):
         return
-    rows = rows[multikey_order([fp[rows].view(U)])]
+    rows = multikey_order([fp])
     new = np.concatenate([[True], fp[rows][1:] != fp[rows][:-1]])
     group = np.cumsum(new) - 1
     again = (np.bincount(group) > 1)[group] | np.bincount(group, weights=(kind[rows] == REST))[group].astype(bool)
-    # a lone REST row is a window that its own batch saw twice: only SINGLE rows ask
+    # a lone REST row is a window that occurs again already: only SINGLE rows ask
     yes = rows[again & (kind[rows] == SINGLE)]
-    yes = yes[np.lexsort([iv[yes], th[yes], d[yes]])]
+    yes = yes[np.lexsort([start[yes], th[yes], d[yes]])]
     if len(yes):
         same = np.cumsum(np.concatenate([[True], (d[yes][1:] != d[yes][:-1]) | (th[yes][1:] != th[yes][:-1])])) - 1
-        k, s, c = _merge(same, iv[yes] >> 32, np.ones(len(yes), np.int64))
+        k, s, c = _merge(same, start[yes], np.ones(len(yes), np.int64))
         at = np.searchsorted(same, k, "left")
         yield _marks(np.full(len(k), DECIDED), d[yes][at], th[yes][at], _iv(s, c))
 
@@ -340,18 +372,17 @@ def dedup(docs: DataFrame, with_spans: bool = False) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("t"))
     rows = rows.select("d", "doc_id", F.hash("t").alias("th"), F.col("t").cast("binary").alias("text"))
     many = max(1, docs.count() // max(SAMPLE_DOCS, 8 * n))
-    sample = common.arrow_map(rows.where(F.pmod(F.xxhash64("d", "th"), F.lit(many)) == 0).select("d", "th", "text"), _sample, "lead long, ah long, fp long").toPandas().to_numpy().view(U) if n > 1 else np.zeros((0, 3), U)
-    sample = sample.reshape(-1, 3)
+    sample = common.arrow_map(rows.where(F.pmod(F.xxhash64("d", "th"), F.lit(many)) == 0).select("d", "th", "text"), _sample, "lead long, ah long, fp long").toArrow()
+    sample = np.stack([c.to_numpy().view(U) for c in sample.columns], axis=1)
     sample = sample[np.lexsort([sample[:, 2], sample[:, 1], sample[:, 0]])]
     splitters = np.unique(sample[(np.arange(1, n) * len(sample)) // n], axis=0) if len(sample) else sample
-    kinds = "kind byte, d long, th int, iv long"
     runs = common.arrow_map(rows.select("d", "th", "text"), lambda it: _suffixes(it, splitters), "bucket int, kind byte, lead long, ah long, fp long, d long, th int, iv long")
-    marks = common.materialize(common.arrow_map(runs.repartitionById(n, F.col("bucket") % n), _compare_runs, kinds), "suffix-runs")
+    marks = common.materialize(common.arrow_map(runs.repartitionById(n, F.col("bucket") % n), _compare_runs, MARKS_DDL), "suffix-runs")
     common.release(spark)
-    left = marks.where(F.col("kind") != DECIDED).groupBy("d", "th").agg(F.collect_list("iv").alias("ivs"))
-    asked = rows.select("d", "th", "text").join(left, ["d", "th"]).select("d", "th", "text", "ivs")
-    windows = common.arrow_map(asked, _windows, "fp long, kind byte, d long, th int, iv long")
-    more = common.materialize(common.arrow_map(windows.repartition(n, "fp"), _compare_windows, kinds), "suffix-windows")
+    left = marks.where(F.col("kind") != DECIDED).groupBy("d", "th").agg(F.collect_list(F.struct("iv", "ah")).alias("runs"))
+    asked = rows.select("d", "th", "text").join(left, ["d", "th"]).select("d", "th", "text", "runs")
+    windows = common.arrow_map(asked, _windows, "key long, kind byte, d long, th int, iv long, bytes binary")
+    more = common.materialize(common.arrow_map(windows.repartition(n, "key"), _compare_windows, MARKS_DDL), "suffix-windows")
     common.release(spark)
     found = marks.where(F.col("kind") == DECIDED).select("d", "th", "iv").union(more.select("d", "th", "iv")).groupBy("d", "th").agg(F.collect_list("iv").alias("ivs"))
     out = rows.join(found, ["d", "th"], "left").select("doc_id", "text", "ivs")
