@@ -32,6 +32,7 @@ VOCAB_BROADCAST = 16_000_000
 ROUNDS, SWEEPS = 2, 4
 KAPPA = 2.0
 BLOCK = 1 << 12
+SHARDS = 16
 COUNTER, CACHE, FLUSH = 250_000, 400_000, 2_000_000
 END = b"\n"  # no word holds white space
 
@@ -116,9 +117,15 @@ def encode(docs: DataFrame, counts: DataFrame, distinct: int, units: int, most:
     """CODED rows of ``docs(doc_id, held_out, text binary)``; the counts come by broadcast up to ``most`` words, else by a shuffle join."""
     spark = docs.sparkSession
     if distinct <= most:
-        table = counts.select(F.xxhash64(F.col("word")).alias("h"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toPandas()
-        held = spark.sparkContext.broadcast(Vocabulary(table["h"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy()))
-        del table
+        h = F.xxhash64(F.col("word"))
+        parts = []
+        for k in range(SHARDS):  # a shard at a time, so that the driver holds little more than the two arrays
+            part = counts.where(F.pmod(h, F.lit(SHARDS)) == k).select(h.alias("h"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+            parts.append((part.column("h").to_numpy().view(np.uint64), part.column("n").to_numpy().astype(np.int32)))
+        vocab = Vocabulary(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        del parts
+        held = spark.sparkContext.broadcast(vocab)
+        del vocab
         mark = uuid.uuid4().hex
         return common.materialize(common.arrow_map(docs, lambda it: _encode(it, held, units, mark), CODED_DDL), "brown-coded")
     # rows of tokens; equal rows of documents stay apart by their number, which is written before it is used
@@ -128,7 +135,7 @@ def encode(docs: DataFrame, counts: DataFrame, distinct: int, units: int, most:
     joined = tokens.withColumn("word", F.col("w").cast("binary")).join(counts, "word", "left")
     h = F.xxhash64(F.col("word"))
     unit = F.shiftrightunsigned(h, 17).bitwiseAND(F.lit(units - 1)).cast("int")
-    coded = joined.select("row", "doc_id", "held_out", F.struct("pos", unit.alias("unit"), F.coalesce(F.least("n", F.lit(2**31 - 1)), F.lit(0)).cast("int").alias("n")).alias("t"))
+    coded = joined.select("row", "doc_id", "held_out", F.struct("pos", unit.alias("unit"), F.least(F.coalesce("n", F.lit(0)), F.lit(2**31 - 1)).cast("int").alias("n")).alias("t"))
     grouped = coded.groupBy("row", "doc_id", "held_out").agg(F.array_sort(F.collect_list("t")).alias("t"))
     return common.materialize(grouped.select("doc_id", "held_out", F.col("t.unit").alias("units"), F.col("t.n").alias("counts")), "brown-coded")
 
@@ -242,9 +249,12 @@ def cluster(coded: DataFrame, counts: DataFrame, units: int, classes: int, round
             total = _sum_cells(common.arrow_map(profiles, lambda it, now=now: _by_class(it, now, classes), "cell int, n double"), (classes, classes))
             prior = (total.sum(axis=0) + 1) / (total.sum() + classes)
             logs = spark.sparkContext.broadcast(np.log((total + KAPPA * prior) / (total.sum(axis=1, keepdims=True) + KAPPA)))
-            moved = common.arrow_map(profiles, lambda it, logs=logs: _move(it, logs, classes), "unit int, class int").toPandas()
+            moved = common.arrow_map(profiles, lambda it, logs=logs: _move(it, logs, classes), "unit int, class int").toArrow()
             of = of.copy()
-            of[moved["unit"].to_numpy()] = moved["class"].to_numpy()
+            of[moved.column("unit").to_numpy()] = moved.column("class").to_numpy()
+            del moved
+            now.unpersist()
+            logs.unpersist()
         common.drop(spark, profiles.scratch_path)
     return of
 
