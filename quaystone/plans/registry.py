@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from . import q_extract
+
+_MODULES = [q_extract]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
