@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common, graph
@@ -180,5 +181,104 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
     return prints.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
+# --- similarity of shingle sets -------------------------------------------------------------------------------------------------------
+# Texts of similarity 0.8 on shingles differ in about 10 of 64 bits, which no covering of practical size joins. So a text gets one SimHash
+# for each of GROUPS groups of its SAMPLE least shingle hashes: of about four shingles each, two out of five groups are untouched between
+# texts of similarity 0.8, and all of 16 are touched with probability 2e-4. Equal group fingerprints make a candidate; sets decide.
+
+GROUPS, SAMPLE = 16, 64
+#: Within a bucket of equal group fingerprints, members are compared with the first and with so many neighbours in a hash order.
+NEIGHBOURS, SLICE = 12, 512
+
+KEYS = pa.schema([("doc", pa.int64()), ("bucket", pa.int64())])
+SETS = pa.schema([("doc", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lens + 1) - 1
+    last = max(1, len(words) - width + 1)
+    starts = (ends - lens)[:last].tolist()
+    stops = ends[width - 1 :].tolist() or [len(joined)]
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(joined[i:j], SEED) for i, j in zip(starts, stops, strict=True)]), ">u8").astype(np.uint64))
+
+
+def group_prints(shingles: np.ndarray) -> list[int]:
+    """SimHash of each group that has shingles, with the group's number mixed in."""
+    some = shingles[:SAMPLE]
+    out = []
+    which = some % np.uint64(GROUPS)
+    for g in np.unique(which).tolist():
+        bits = np.unpackbits(some[which == g].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        fp = int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes(), "big")
+        out.append(xxhash.xxh64_intdigest(fp.to_bytes(8, "big"), g))
+    return out
+
+
+def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        docs, found = [], []
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            prints = group_prints(shingle_set(text, width))
+            docs += [doc] * len(prints)
+            found += prints
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64))], schema=KEYS)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], schema=SETS)
+
+
+def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        left, right = b.column(2), b.column(3)
+        keep = []
+        for i in range(b.num_rows):
+            x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+        keep = np.array(keep, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(b.column(k).to_numpy(zero_copy_only=False)[keep]) for k in (0, 1)], schema=LINKS)
+
+
+def similar_pairs(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """Links (u, v) between rows of ``docs(doc long, text binary)`` whose shingle sets have at least that Jaccard similarity."""
+    spark = docs.sparkSession
+    keys = common.materialize(common.arrow_map(docs, lambda it: _keys(it, width), "doc long, bucket long"), "near-keys")
+    buckets = keys.groupBy("bucket").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    # a bucket's members lie in slices of bounded size, so that no window holds a large bucket
+    members = keys.join(buckets, "bucket").withColumn("slice", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / SLICE).cast("long")))
+    order = W.partitionBy("bucket", "slice").orderBy(F.xxhash64("doc", F.lit(1)), "doc")
+    near = F.array(F.col("first"), *[F.lead("doc", k).over(order) for k in range(1, NEIGHBOURS + 1)])
+    pairs = members.select("doc", near.alias("near")).select("doc", F.explode("near").alias("other")).where("other is not null and doc <> other")
+    pairs = pairs.select(F.least("doc", "other").alias("u"), F.greatest("doc", "other").alias("v"))
+    # texts of similarity 0.8 share two group fingerprints or more, but for one pair in 400; small texts have fewer groups
+    pairs = common.materialize(pairs.distinct(), "near-pairs")
+    asked = pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc"))).distinct()
+    sets = common.materialize(common.arrow_map(docs.join(asked, "doc").select("doc", "text"), lambda it: _sets(it, width), "doc long, shingles array<long>").dropDuplicates(["doc"]), "near-sets")
+    one = pairs.join(sets.select(F.col("doc").alias("u"), F.col("shingles").alias("a")), "u")
+    two = one.join(sets.select(F.col("doc").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
+    return common.arrow_map(two, lambda it: _similar(it, least), "u long, v long")
+
+
+def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id and component_id of the rows of ``docs(doc_id, text)`` that are linked to another; component_id is the smallest doc_id.
+
+    Links join texts whose sets of ``width``-word shingles (A-Z lower-cased; fewer words: the whole text) are ``least`` similar. Texts
+    without words (null, empty, blank) and rows without doc_id link to nothing; rows that repeat a doc_id count as one.
+    """
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), common.text_or_empty().cast("binary").alias("text"))
+    return graph.components(similar_pairs(rows, width, least)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
