@@ -187,11 +187,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
 # texts of similarity 0.8, and all of 16 are touched with probability 2e-4. Equal group fingerprints make a candidate; sets decide.
 
 GROUPS, SAMPLE = 16, 64
-#: Within a bucket of equal group fingerprints, members are compared with the first and with so many neighbours in a hash order.
-NEIGHBOURS, SLICE = 12, 512
+#: A bucket of equal group fingerprints of up to WHOLE members is compared whole; in a larger one each member is compared with the bucket's
+#: first and with FEW neighbours in an order by hash, within slices. Large groups share many buckets, each with other neighbours.
+WHOLE, FEW, SLICE = 16, 3, 512
 
 KEYS = pa.schema([("doc", pa.int64()), ("bucket", pa.int64())])
-SETS = pa.schema([("doc", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+SETS = pa.schema([("doc", pa.int64()), ("shingles", pa.binary())])
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -232,20 +233,19 @@ def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Shingle sets as sorted distinct 32-bit hashes: what travels with each pair. Two shingles of a text share one once in 10^4 texts."""
     for b in batches:
-        sets = [shingle_set(t, width).view(np.int64) for t in b.column(1).to_pylist()]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))], schema=SETS)
+        sets = [np.unique((shingle_set(t, width) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()]
+        yield common.batch(SETS, doc=b.column(0), shingles=sets)
 
 
 def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        left, right = b.column(2), b.column(3)
         keep = []
-        for i in range(b.num_rows):
-            x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            keep.append(both > 0 and both >= least * (len(x) + len(y) - both) - 1e-9)
         keep = np.array(keep, bool)
         yield pa.RecordBatch.from_arrays([pa.array(b.column(k).to_numpy(zero_copy_only=False)[keep]) for k in (0, 1)], schema=LINKS)
 
@@ -258,13 +258,12 @@ def similar_pairs(docs: DataFrame, width: int, least: float) -> DataFrame:
     # a bucket's members lie in slices of bounded size, so that no window holds a large bucket
     members = keys.join(buckets, "bucket").withColumn("slice", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / SLICE).cast("long")))
     order = W.partitionBy("bucket", "slice").orderBy(F.xxhash64("doc", F.lit(1)), "doc")
-    near = F.array(F.col("first"), *[F.lead("doc", k).over(order) for k in range(1, NEIGHBOURS + 1)])
+    near = F.array(F.col("first"), *[F.lead("doc", k).over(order) if k <= FEW else F.when(F.col("n") <= WHOLE, F.lead("doc", k).over(order)) for k in range(1, WHOLE)])
     pairs = members.select("doc", near.alias("near")).select("doc", F.explode("near").alias("other")).where("other is not null and doc <> other")
     pairs = pairs.select(F.least("doc", "other").alias("u"), F.greatest("doc", "other").alias("v"))
-    # texts of similarity 0.8 share two group fingerprints or more, but for one pair in 400; small texts have fewer groups
     pairs = common.materialize(pairs.distinct(), "near-pairs")
     asked = pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc"))).distinct()
-    sets = common.materialize(common.arrow_map(docs.join(asked, "doc").select("doc", "text"), lambda it: _sets(it, width), "doc long, shingles array<long>").dropDuplicates(["doc"]), "near-sets")
+    sets = common.materialize(common.arrow_map(docs.join(asked, "doc").select("doc", "text"), lambda it: _sets(it, width), "doc long, shingles binary").dropDuplicates(["doc"]), "near-sets")
     one = pairs.join(sets.select(F.col("doc").alias("u"), F.col("shingles").alias("a")), "u")
     two = one.join(sets.select(F.col("doc").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
     return common.arrow_map(two, lambda it: _similar(it, least), "u long, v long")
