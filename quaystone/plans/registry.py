@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_extract, q_message
+from . import q_extract, q_message, q_sequence
 
-_MODULES = [q_extract, q_message]
+_MODULES = [q_extract, q_message, q_sequence]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
