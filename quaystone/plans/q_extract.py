@@ -459,9 +459,9 @@ def silent_damage_first6(spark, d):
 
 
 TRANSFORMS = """c AS (SELECT payment_id, original, x.name AS name, x.corrupting AS corrupting, x.value AS value FROM (SELECT payment_id, "CdtrAcct_IBAN" AS original, unnest([
-  {name: 'zero_to_o', corrupting: true, value: regexp_replace(i, '^([^0]*)0', '\\1O')}, {name: 'one_to_l', corrupting: true, value: regexp_replace(i, '^([^1]*)1', '\\1l')},
-  {name: 'five_to_s', corrupting: true, value: regexp_replace(i, '^([^5]*)5', '\\1S')}, {name: 'eight_to_b', corrupting: true, value: regexp_replace(i, '^([^8]*)8', '\\1B')},
-  {name: 'two_to_z', corrupting: true, value: regexp_replace(i, '^([^2]*)2', '\\1Z')}, {name: 'swap_12_13', corrupting: true, value: substr(i, 1, 12) || substr(i, 14, 1) || substr(i, 13, 1) || substr(i, 15)},
+  {name: 'zero_to_o', corrupting: true, value: replace(i, '0', 'O')}, {name: 'one_to_l', corrupting: true, value: replace(i, '1', 'l')},
+  {name: 'five_to_s', corrupting: true, value: replace(i, '5', 'S')}, {name: 'eight_to_b', corrupting: true, value: replace(i, '8', 'B')},
+  {name: 'two_to_z', corrupting: true, value: replace(i, '2', 'Z')}, {name: 'swap_12_13', corrupting: true, value: substr(i, 1, 12) || substr(i, 14, 1) || substr(i, 13, 1) || substr(i, 15)},
   {name: 'drop_9', corrupting: true, value: substr(i, 1, 9) || substr(i, 11)}, {name: 'digit_14', corrupting: true, value: substr(i, 1, 14) || coalesce(CAST((TRY_CAST(substr(i, 15, 1) AS INTEGER) + 3) % 10 AS VARCHAR), substr(i, 15, 1)) || substr(i, 16)},
   {name: 'space_9', corrupting: false, value: substr(i, 1, 9) || ' ' || substr(i, 10)}, {name: 'lower', corrupting: false, value: lower(i)}]) AS x FROM (SELECT *, "CdtrAcct_IBAN" AS i FROM p)) WHERE x.value <> original)"""
 
