@@ -89,9 +89,8 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -
     width = high - low + 1
     pad = np.full(len(item) + width + 2, 0xFFFFFFFF, np.uint32)
     a, b = max(0, low), min(len(text), low + len(pad))
-    if b <= a:
-        return None
-    pad[a - low : b - low] = text[a:b]
+    if a < b:
+        pad[a - low : b - low] = text[a:b]
     steps = np.arange(width)
     place = low + steps
     cost = np.where((place >= 0) & (place <= len(text)), 0, most + 1)
