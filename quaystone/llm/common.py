@@ -70,6 +70,14 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def bound_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Lower the session's limit of bytes in an Arrow batch to ``size``, so that long texts do not add up in workers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(key).rstrip("b")) if spark.conf.get(key).rstrip("b").lstrip("-").isdigit() else 0
+    if now <= 0 or now > size:
+        spark.conf.set(key, str(size))
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     """A record batch from arrays or lists, by name."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
