@@ -33,7 +33,7 @@ def ctc_decode(steps: DataFrame, chars: str) -> DataFrame:
     """Greedy CTC: repeats collapsed, blanks (0) dropped, class k as character k - 1; confidence is the mean over what is kept, or 0."""
     kept = F.when((F.col("k") != F.col("prev")) & (F.col("k") != 0), F.struct("t", F.substring(F.lit(chars), F.col("k"), F.lit(1)).alias("c"), "prob"))
     prev = F.lag("k", 1, -1).over(W.partitionBy("line_id").orderBy("t"))
-    lines = steps.withColumn("prev", prev).groupBy("line_id").agg(F.array_sort(F.collect_list(kept)).alias("s"), F.round(F.avg(kept["prob"]), 6).alias("m"))
+    lines = steps.withColumn("prev", prev).groupBy("line_id").agg(F.array_sort(F.collect_list(kept)).alias("s"), F.round(F.avg(kept["prob"]), 9).alias("m"))
     return lines.select("line_id", F.array_join(F.col("s.c"), "").alias("text"), F.coalesce("m", F.lit(0.0)).alias("confidence"))
 
 

@@ -117,7 +117,7 @@ def steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("ctc_decode", f"""WITH {STEPS}, l AS (SELECT *, lag(k, 1, -1) OVER (PARTITION BY line_id ORDER BY t) AS prev FROM st), u AS (SELECT line_id FROM st GROUP BY line_id),
-g AS (SELECT line_id, string_agg(substr('{CHARS}', k, 1), '' ORDER BY t) AS text, round(avg(prob), 6) AS confidence FROM l WHERE k <> prev AND k <> 0 GROUP BY line_id)
+g AS (SELECT line_id, string_agg(substr('{CHARS}', k, 1), '' ORDER BY t) AS text, round(avg(prob), 9) AS confidence FROM l WHERE k <> prev AND k <> 0 GROUP BY line_id)
 SELECT u.line_id, coalesce(text, '') AS text, coalesce(confidence, 0) AS confidence FROM u LEFT JOIN g USING (line_id)""")
 def ctc_decode(spark, d):
     return SA.ctc_decode(steps(spark, d), CHARS)
