@@ -121,6 +121,30 @@ def test_slots_do_not_depend_on_the_order_of_values(spark):
     assert any(r[2:] == ("5.00", "EUR") for r in make(rows)) and len(make(rows)) == 2
 
 
+def test_messages_are_well_formed_and_in_schema_order(spark, sf):
+    import xml.etree.ElementTree as ET
+
+    from quaystone.plans import q_more
+
+    order = [p for p, _, _ in schema.LEAVES]
+    for r in q_more.build_message(spark, sf).limit(20).collect():
+        root = ET.fromstring(r["xml"])
+        found = []
+
+        def walk(el, path):
+            path = f"{path}/{el.tag}" if path else el.tag
+            if len(el):
+                assert len({c.tag for c in el}) == len(el)
+                for c in el:
+                    walk(c, path)
+            else:
+                found.append(path)
+
+        walk(root, "")
+        assert found == [p for p in order if p in found] and len(found) >= 9
+        assert root.find(".//InstdAmt").get("Ccy") and root.find(".//NbOfTxs").text == "1"
+
+
 def test_small_draw_is_part_of_a_large_one(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     small = payments.payments(orders.where("o_orderkey < 50"))
