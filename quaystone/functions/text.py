@@ -137,8 +137,15 @@ def html_to_text(c: Column) -> Column:
     return F.array_join(F.transform(F.split(t, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), "\n")
 
 
+FLAT = r'^[^{]*(\{(?:[^{}"]|"(?:[^"\\]|\\.)*")*\})'
+
+
 def first_object(c: Column) -> Column:
-    """The first balanced {...} of a text, aware of strings and escapes; '' if it never closes."""
+    """The first balanced {...} of a text, aware of strings and escapes; '' if it never closes. One without braces inside needs no fold."""
+    return V.let(c, lambda x: V.let(F.regexp_extract(x, FLAT, 1), lambda flat: F.when(flat != "", flat).otherwise(_balanced(x))))
+
+
+def _balanced(c: Column) -> Column:
     start = F.instr(c, "{")
     chars = F.filter(F.split(F.substring(c, start, F.length(c)), ""), lambda x: x != "")
     zero = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("text"), F.lit(False).alias("esc"), F.lit(0).alias("at"), F.lit(0).alias("end"))
