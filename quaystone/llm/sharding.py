@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -10,6 +13,8 @@ from . import common
 #: Production limit of a shard, in bytes of UTF-8 text.
 LIMIT_BYTES = 4 << 20
 MAX_BITS = 24
+#: A chained bucket is filled into parts in slices of about so many parts.
+SLICE = 16
 
 
 def key_hash(key: Column) -> Column:
@@ -17,37 +22,45 @@ def key_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def shard(df: DataFrame, key: str = "doc_id", text: str = "text", limit_bytes: int = LIMIT_BYTES, max_bits: int = MAX_BITS, sizes: DataFrame | None = None) -> DataFrame:
-    """Give every row a shard; a shard's texts hold ``limit_bytes`` at most.
+def shard(df: DataFrame, key: str = "doc_id", text: str = "text", limit_bytes: int = LIMIT_BYTES, max_bits: int = MAX_BITS) -> DataFrame:
+    """Give every row a shard (__bits, __prefix, __part); a shard's texts hold ``limit_bytes`` at most.
 
     Adds __bytes (UTF-8 length, null: 0), __bits (local depth of its bucket), __prefix (the bucket's hash prefix) and __part. Rows with
-    equal keys (null is a key) share a hash, so a bucket that is over the limit at ``max_bits`` cannot be split by bits: it is chained,
-    __part = running bytes before the row div the limit, taken over slices of rows so that no task holds the whole bucket. A chained
-    part may pass the limit by one row per slice; a row larger than the limit stands as it is. Empty input gives empty output.
+    equal keys (null is a key) share a hash, so a bucket that is over the limit at ``max_bits`` cannot be split by bits and is chained:
+    rows over half the limit are parts of their own, and the others fill a part up to half the limit before the row that passes it; this
+    runs over slices of rows, so that no task holds the whole bucket. Only a row that is larger than the limit by itself makes a part that
+    is. Empty input gives empty output; other columns are kept.
     """
     spark = df.sparkSession
     rows = df.withColumn("__bytes", F.octet_length(common.text_or_empty(text)).cast("long")).withColumn("__h", key_hash(F.col(key)))
     light = common.materialize(rows.groupBy(F.col("__h").alias("h")).agg(F.sum("__bytes").alias("size")), "shard-sizes")
     leaves = common.grow_directory(spark, light, limit_bytes, max_bits)
     out = common.with_leaf(rows, leaves, "__h", "__leaf")
-    bits = spark.sparkContext.broadcast([d for d, _, _ in leaves] or [0])
-    depth = F.pandas_udf(lambda x: x.map(lambda i: bits.value[i]), "int")
-    out = out.withColumn("__bits", depth("__leaf")).withColumn("__prefix", F.when(F.col("__bits") == 0, F.lit(0).cast("long")).otherwise(F.expr(f"shiftrightunsigned(__h, 60 - __bits)")))
-    chained = [i for i, (d, _, n) in enumerate(leaves) if n > limit_bytes]
-    if not chained:
+    bits = spark.sparkContext.broadcast(np.array([d for d, _, _ in leaves] or [0], np.int32))
+    depth = F.pandas_udf(lambda x: pd.Series(bits.value[x.to_numpy()]), "int")
+    out = out.withColumn("__bits", depth("__leaf")).withColumn("__prefix", F.when(F.col("__bits") == 0, F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(__h, 60 - __bits)")))
+    sizes = np.array([n for _, _, n in leaves] or [0], np.int64)
+    slices = spark.sparkContext.broadcast(np.where(sizes > limit_bytes, -(-sizes // (SLICE * limit_bytes)), 0))
+    if not slices.value.any():
         return out.withColumn("__part", F.lit(0).cast("long")).drop("__h", "__leaf")
-    over = F.col("__leaf").isin(chained)
-    # a slice has at most about limit bytes on average, so that each chained part is one slice of the bucket
-    slices = {i: -(-leaves[i][2] // limit_bytes) for i in chained}
-    count = F.create_map(*[F.lit(x) for kv in slices.items() for x in (kv[0], kv[1])])
-    part = F.pmod(F.xxhash64(F.col(text), F.monotonically_increasing_id()), F.coalesce(count[F.col("__leaf")], F.lit(1)))
-    return out.withColumn("__part", F.when(over, part).otherwise(F.lit(0)).cast("long")).drop("__h", "__leaf")
+    count = F.pandas_udf(lambda x: pd.Series(slices.value[x.to_numpy()]), "long")
+    out = out.withColumn("__n", count("__leaf"))
+    one = out.where("__n = 0").withColumn("__part", F.lit(0).cast("long"))
+    many = out.where("__n > 0").withColumn("__id", F.monotonically_increasing_id())
+    many = many.withColumn("__slice", F.pmod(F.xxhash64("__id"), F.col("__n")))
+    half = limit_bytes / 2
+    small = F.when(F.col("__bytes") <= half, F.col("__bytes")).otherwise(0)
+    w = W.partitionBy("__leaf", "__slice").orderBy("__id").rowsBetween(W.unboundedPreceding, 0)
+    filled = F.floor((F.sum(small).over(w) - small) / half) * 2
+    own = F.sum((F.col("__bytes") > half).cast("long")).over(w) * 2 + 1
+    many = many.withColumn("__part", F.col("__slice") * F.lit(1 << 32) + F.when(F.col("__bytes") > half, own).otherwise(filled))
+    return one.unionByName(many.drop("__id", "__slice")).drop("__h", "__leaf", "__n")
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:
     """Write the rows of ``df``, one folder for each shard."""
     cols = df.columns
-    shard(df, **options).withColumn("shard", F.format_string("%02d-%06x-%d", "__bits", "__prefix", "__part")).select("shard", *cols).write.partitionBy("shard").parquet(path)
+    shard(df, **options).withColumn("shard", F.format_string("%02d-%06x-%x", "__bits", "__prefix", "__part")).select("shard", *cols).write.partitionBy("shard").parquet(path)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
