@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import common, graph
 
 BITS, HALVES = 31, 2
@@ -187,9 +188,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
 # texts of similarity 0.8, and all of 16 are touched with probability 2e-4. Equal group fingerprints make a candidate; sets decide.
 
 GROUPS, SAMPLE = 16, 64
-#: A bucket of equal group fingerprints of up to WHOLE members is compared whole; in a larger one each member is compared with the bucket's
-#: first and with FEW neighbours in an order by hash, within slices. Large groups share many buckets, each with other neighbours.
-WHOLE, FEW, SLICE = 16, 3, 512
+#: A bucket of equal group fingerprints of up to WHOLE members is compared whole. In a larger one each member is first compared with the
+#: bucket's first and with FEW neighbours in an order by hash, within slices. That joins most of a large group cheaply; where it leaves a
+#: bucket in several components, all pairs across them are compared in blocks of about BLOCK bytes of shingle sets.
+WHOLE, FEW, SLICE, BLOCK = 16, 3, 512, 4 << 20
 
 KEYS = pa.schema([("doc", pa.int64()), ("bucket", pa.int64())])
 SETS = pa.schema([("doc", pa.int64()), ("shingles", pa.binary())])
@@ -251,7 +253,10 @@ def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Rec
 
 
 def similar_pairs(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Links (u, v) between rows of ``docs(doc long, text binary)`` whose shingle sets have at least that Jaccard similarity."""
+    """Links (u, v) between rows of ``docs(doc long, text binary)`` whose shingle sets have at least that Jaccard similarity.
+
+    They span what the links of all pairs of candidates span: in a large bucket, pairs within one component are not compared again.
+    """
     spark = docs.sparkSession
     keys = common.materialize(common.arrow_map(docs, lambda it: _keys(it, width), "doc long, bucket long"), "near-keys")
     buckets = keys.groupBy("bucket").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
@@ -266,7 +271,61 @@ def similar_pairs(docs: DataFrame, width: int, least: float) -> DataFrame:
     sets = common.materialize(common.arrow_map(docs.join(asked, "doc").select("doc", "text"), lambda it: _sets(it, width), "doc long, shingles binary").dropDuplicates(["doc"]), "near-sets")
     one = pairs.join(sets.select(F.col("doc").alias("u"), F.col("shingles").alias("a")), "u")
     two = one.join(sets.select(F.col("doc").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
-    return common.arrow_map(two, lambda it: _similar(it, least), "u long, v long")
+    some = common.materialize(common.arrow_map(two, lambda it: _similar(it, least), "u long, v long"), "near-links")
+    roots = graph.components(some)
+    large = keys.join(buckets.where(F.col("n") > WHOLE).select("bucket"), "bucket").distinct()
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").union(_across(large, roots, sets, least))
+
+
+def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links between the components (node, root) that share a bucket of ``members(doc, bucket)``, from all pairs across components.
+
+    The rows outside a bucket's largest component (minor) lie in blocks 0 to k - 1, those of the largest (major) in blocks from k on. Each
+    minor block meets each other block in a cell of bounded size, and itself in the cell with block k. Two major rows need no comparison.
+    """
+    ship(members.sparkSession)
+    sized = sets.select("doc", F.octet_length("shingles").cast("long").alias("size"))
+    now = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")).join(sized, "doc")
+    parts = now.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    whole = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root", "size")).alias("major"), F.sum("size").alias("size"))
+    blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / F.lit(BLOCK))).cast("long")
+    mixed = whole.where("parts > 1").select("bucket", F.col("major.root").alias("major"), blocks(F.col("size") - F.col("major.size")).alias("k"), blocks(F.col("major.size")).alias("m"))
+    rows = now.join(mixed, "bucket").withColumn("h", F.xxhash64("doc", "bucket"))
+    minor = F.col("root") != F.col("major")
+    rows = rows.withColumn("block", F.when(minor, F.pmod("h", "k")).otherwise(F.col("k") + F.pmod("h", "m")))
+    met = F.sequence(F.lit(0).cast("long"), F.when(minor, F.col("k") + F.col("m")).otherwise(F.col("k")) - 1)
+    rows = rows.select("bucket", "doc", "root", "k", "block", F.explode(met).alias("other")).where("block <> other")
+    cells = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "k", "block", "doc", "root").join(sets, "doc")
+    cells = cells.select("bucket", "i", "j", "k", "block", "doc", "root", "shingles")
+    return cells.groupBy("bucket", "i", "j").applyInArrow(lambda cell: _cell(cell, least), "u long, v long")
+
+
+def _cell(cell: pa.Table, least: float) -> pa.Table:
+    """Links that join components within one cell: each row of block i against those of block j, and of i where j is the first major one."""
+    i, j, k = (cell.column(c)[0].as_py() for c in ("i", "j", "k"))
+    block, doc, comp = (cell.column(c).to_numpy().copy() for c in ("block", "doc", "root"))
+    sets = [np.frombuffer(x, np.uint32) for x in cell.column("shingles").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sets = np.split(flat, np.cumsum(size)[:-1])
+    mark = np.zeros(len(known), np.int32)
+    target = np.ones(len(doc), bool) if j == k else block == j
+    out = []
+    for r in np.flatnonzero(block == i).tolist():
+        # sets whose sizes are further apart cannot be that similar
+        near = np.flatnonzero(target & (comp != comp[r]) & (size >= least * size[r] - 1) & (size * least <= size[r] + 1))
+        if not len(near):
+            continue
+        mark[sets[r]] = 1
+        n = size[near]
+        both = np.add.reduceat(mark[np.concatenate([sets[x] for x in near.tolist()])], np.cumsum(n) - n)
+        mark[sets[r]] = 0
+        for x in near[(both > 0) & (both >= least * (size[r] + n - both) - 1e-9)].tolist():
+            if comp[x] != comp[r]:
+                out.append((doc[r], doc[x]))
+                comp[comp == comp[x]] = comp[r]
+    e = np.array(out, np.int64).reshape(-1, 2)
+    return pa.table([pa.array(np.ascontiguousarray(e[:, c])) for c in (0, 1)], schema=LINKS)
 
 
 def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:

@@ -475,3 +475,23 @@ def test_similar_texts(spark, odd, empty):
     assert len(wrong) <= 0.01 * len(rows)
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_groups(odd).collect()} == {1: 1, 2: 1, 8: 8, 9: 8}
     assert simhash.near_groups(empty).count() == 0
+
+
+@pytest.mark.parametrize("copies, block", [(100, 4 << 20), (300, 4096)])
+def test_large_groups_whose_hub_is_not_the_first(spark, copies, block, monkeypatch):
+    """One original and copies that are similar to it but hardly to each other: all are found, whatever the original's id."""
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    rng = random.Random(copies)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(copies + 1):
+        w = list(base)
+        for at in rng.sample(range(5, 195), 4) if i != copies // 2 else ():
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(5000 + i, " ".join(f"y{rng.randrange(10**6)}" for _ in range(200))) for i in range(20)]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(196)} for i, t in rows}
+    hub = sets[copies // 2]
+    linked = {i for i in range(copies + 1) if len(sets[i] & hub) >= 0.8 * len(sets[i] | hub)}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(linked) > 0.9 * copies and {got.get(i) for i in linked} == {min(linked)} and not any(i >= 5000 for i in got)
