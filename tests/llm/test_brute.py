@@ -339,6 +339,23 @@ def test_quality_rejects_noise_and_keeps_prose(spark, odd, empty):
     assert kneser_ney.quality(odd, labels.limit(0)).where("keep").count() == odd.where("trim(text) <> ''").where("doc_id <> 5 or doc_id is null").count()
 
 
+def test_quality_rejects_toxic_words_in_clean_prose(spark):
+    rng = random.Random(10)
+    vocab = ["".join(rng.choice("aeioulrnst") for _ in range(rng.randint(2, 6))) for _ in range(60)]
+    prose = lambda: [rng.choice(vocab) for _ in range(rng.randint(60, 200))]
+    rows = []
+    for i in range(600):
+        w = prose()
+        if i % 6 == 0:
+            for at in rng.sample(range(len(w)), 3):
+                w[at] = rng.choice(["vile", "scum"])
+        rows.append((i, " ".join(w), "en"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["keep"] for r in kneser_ney.quality(df, labels).collect()}
+    assert not any(got[i] for i in got if i % 6 == 0) and sum(got[i] for i in got if i % 6) >= 0.96 * sum(1 for i in got if i % 6)
+
+
 def test_kneser_ney_is_a_distribution(spark):
     texts_ = ["a b c a b d", "a b c", "c a b b", "d d a c"]
     df = spark.createDataFrame([(bytearray(t.encode()),) for t in texts_], "text binary")
