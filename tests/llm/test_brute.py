@@ -356,6 +356,14 @@ def test_quality_rejects_toxic_words_in_clean_prose(spark):
     assert not any(got[i] for i in got if i % 6 == 0) and sum(got[i] for i in got if i % 6) >= 0.96 * sum(1 for i in got if i % 6)
 
 
+def test_long_texts_train_whole():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(9000)).encode()
+    out = list(kneser_ney._trigrams(iter([pa.record_batch([pa.array([text])], names=["text"])])))
+    assert sum(sum(b.column(3).to_pylist()) for b in out) == 9001
+
+
 def test_kneser_ney_is_a_distribution(spark):
     texts_ = ["a b c a b d", "a b c", "c a b b", "d d a c"]
     df = spark.createDataFrame([(bytearray(t.encode()),) for t in texts_], "text binary")
