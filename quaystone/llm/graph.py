@@ -12,33 +12,35 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _pull(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The neighbourhoods (u, v) and the least of u and its neighbours, as (u, m); the minimum is combined before the shuffle."""
-    least = sides.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return sides, least
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Of links ``edges(u long, v long)``: (node, root), root the least node of the component. Nodes without links are not listed.
 
     Each round writes its links to the shared folder, so that a lost executor costs one round; the loop ends when a round changes none.
+    Minima are combined before they are shuffled, and the links of a node with many of them are dealt over several tasks.
     """
     spark = edges.sparkSession
     now = common.materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
-    seen = None
+    seen = _mark(now)
     for _ in range(most_rounds):
-        both, least = _pull(_undirected(now))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = _undirected(now)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = common.spread_join(both.where("v > u"), least, "u", "n", 2 * seen[0])
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = common.spread_join(down, least, "u", "n", 2 * seen[0])
+        small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         after = common.materialize(small.where("u <> v").distinct(), "cc")
-        mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        mark = _mark(after)
         common.drop(spark, now.scratch_path)
         now = after
-        if tuple(mark) == seen:
+        if mark == seen:
             break
-        seen = tuple(mark)
+        seen = mark
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -24,6 +24,8 @@ BITS, HALVES = 31, 2
 SEED = 42
 #: Groups of more rows than this at one anchor are compared by blocks, smaller ones many at a time.
 SMALL = 24
+#: An anchor with more rows than this is dealt over several tasks: its homes in blocks against its rows in blocks.
+CELL_ROWS = 4096
 
 PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 COPIES = pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
@@ -112,12 +114,13 @@ def _large(fp: np.ndarray, home: np.ndarray, most: int) -> np.ndarray:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: compare per anchor. The last anchor of a batch is carried on to the next."""
+    """Rows sorted by anchor and cell: compare per cell. The last cell of a batch is carried on to the next."""
     keep = None
 
-    def links(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
+    def links(anchor: np.ndarray, cell: np.ndarray, fp: np.ndarray, home: np.ndarray) -> list[np.ndarray]:
         out = []
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (cell[1:] != cell[:-1]), [True]])
+        edge, key = np.flatnonzero(new), np.cumsum(new[:-1])
         size = np.diff(edge)
         small = np.repeat(size <= SMALL, size)
         for lag in range(1, min(SMALL, len(key))):
@@ -138,12 +141,12 @@ def _compare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], schema=LINKS)
 
     for b in batches:
-        now = [b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)]
+        now = [b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).view(np.uint64), b.column(3).to_numpy(zero_copy_only=False)]
         if keep is not None:
             now = [np.concatenate(x) for x in zip(keep, now, strict=True)]
         if not len(now[0]):
             continue
-        cut = int(np.searchsorted(now[0], now[0][-1], "left"))
+        cut = int(np.flatnonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[-1:].sum() + 1) if (now[0][0], now[1][0]) != (now[0][-1], now[1][-1]) else 0
         if cut:
             yield from emit(links(*(x[:cut] for x in now)))
         keep = [x[cut:] for x in now]
@@ -156,13 +159,27 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return common.materialize(common.arrow_map(rows, lambda it: _fingerprints(it, width), "doc_id long, fp long"), "simhash")
 
 
-def links(prints: DataFrame, most: int = 2) -> DataFrame:
-    """Links (u, v) between distinct fingerprints ``prints(fp long)`` that differ in at most ``most`` <= 2 bits, all or a forest of them."""
+def links(prints: DataFrame, most: int = 2, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (u, v) between distinct fingerprints ``prints(fp long)`` that differ in at most ``most`` <= 2 bits, all or a forest of them.
+
+    Where an anchor has over ``cell_rows`` rows, its homes and its rows are dealt into so many blocks that each pair of blocks, a cell, is
+    of about that size. At most rows / cell_rows anchors have that many, and these are broadcast only up to the bound of a lookup table.
+    """
     if not 0 <= most <= 2:
         raise ValueError("the covering is built for thresholds of 0 to 2 bits")
     spark = prints.sparkSession
-    copies = common.arrow_map(prints, _copies, "anchor long, fp long, home boolean")
-    dealt = copies.repartition(common.partitions(spark), "anchor").sortWithinPartitions("anchor")
+    copies = common.materialize(common.arrow_map(prints, _copies, "anchor long, fp long, home boolean"), "anchor-copies")
+    hot = common.materialize(copies.groupBy("anchor").count().where(F.col("count") > cell_rows).select("anchor", F.ceil(F.col("count") / cell_rows).cast("int").alias("k")), "anchor-hot")
+    n = hot.count()
+    few = n <= common.BROADCAST_ROWS
+    plain = (copies.join(F.broadcast(hot) if few else hot, "anchor", "left_anti") if n else copies).withColumn("cell", F.lit(0))
+    if n:
+        rows = copies.join(F.broadcast(hot) if few else hot, "anchor").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+        ways = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
+        homes = rows.where("home").select("anchor", "fp", "b", "k", F.lit(True).alias("home"), ways).select("anchor", "fp", "home", (F.col("b") * F.col("k") + F.col("o")).alias("cell"))
+        others = rows.select("anchor", "fp", "b", "k", F.lit(False).alias("home"), ways).select("anchor", "fp", "home", (F.col("o") * F.col("k") + F.col("b")).alias("cell"))
+        plain = plain.select("anchor", "fp", "home", "cell").unionByName(homes).unionByName(others)
+    dealt = plain.repartition(common.partitions(spark), "anchor", "cell").sortWithinPartitions("anchor", "cell").select("anchor", "cell", "fp", "home")
     return common.arrow_map(dealt, lambda it: _compare(it, most), "u long, v long")
 
 
@@ -189,9 +206,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
 
 GROUPS, SAMPLE = 16, 64
 #: A bucket of equal group fingerprints of up to WHOLE members is compared whole. In a larger one each member is first compared with the
-#: bucket's first and with FEW neighbours in an order by hash, within slices. That joins most of a large group cheaply; where it leaves a
-#: bucket in several components, all pairs across them are compared in blocks of about BLOCK bytes of shingle sets.
-WHOLE, FEW, SLICE, BLOCK = 16, 3, 512, 4 << 20
+#: bucket's first. Where that leaves a bucket in several components, all pairs across them are compared in blocks of about BLOCK bytes of
+#: shingle sets: first in the largest such bucket of each text, then in all that still hold several components.
+WHOLE, BLOCK = 16, 4 << 20
 
 KEYS = pa.schema([("doc", pa.int64()), ("bucket", pa.int64())])
 SETS = pa.schema([("doc", pa.int64()), ("shingles", pa.binary())])
@@ -235,62 +252,76 @@ def _keys(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Shingle sets as sorted distinct 32-bit hashes: what travels with each pair. Two shingles of a text share one once in 10^4 texts."""
+    """Shingle sets as sorted distinct 64-bit hashes."""
     for b in batches:
-        sets = [np.unique((shingle_set(t, width) >> np.uint64(32)).astype(np.uint32)).tobytes() for t in b.column(1).to_pylist()]
-        yield common.batch(SETS, doc=b.column(0), shingles=sets)
+        yield common.batch(SETS, doc=b.column(0), shingles=[shingle_set(t, width).tobytes() for t in b.column(1).to_pylist()])
 
 
 def _similar(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
         for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both > 0 and both >= least * (len(x) + len(y) - both) - 1e-9)
         keep = np.array(keep, bool)
         yield pa.RecordBatch.from_arrays([pa.array(b.column(k).to_numpy(zero_copy_only=False)[keep]) for k in (0, 1)], schema=LINKS)
 
 
-def similar_pairs(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """Links (u, v) between rows of ``docs(doc long, text binary)`` whose shingle sets have at least that Jaccard similarity.
+def similar_groups(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """Components (node, root) of the rows of ``docs(doc long, text binary)``, doc unique, by links of at least that Jaccard similarity.
 
-    They span what the links of all pairs of candidates span: in a large bucket, pairs within one component are not compared again.
+    They are those of the links of all pairs of candidates: in a large bucket, pairs within one component are not compared again.
     """
-    spark = docs.sparkSession
     keys = common.materialize(common.arrow_map(docs, lambda it: _keys(it, width), "doc long, bucket long"), "near-keys")
-    buckets = keys.groupBy("bucket").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    # a bucket's members lie in slices of bounded size, so that no window holds a large bucket
-    members = keys.join(buckets, "bucket").withColumn("slice", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / SLICE).cast("long")))
-    order = W.partitionBy("bucket", "slice").orderBy(F.xxhash64("doc", F.lit(1)), "doc")
-    near = F.array(F.col("first"), *[F.lead("doc", k).over(order) if k <= FEW else F.when(F.col("n") <= WHOLE, F.lead("doc", k).over(order)) for k in range(1, WHOLE)])
-    pairs = members.select("doc", near.alias("near")).select("doc", F.explode("near").alias("other")).where("other is not null and doc <> other")
-    pairs = pairs.select(F.least("doc", "other").alias("u"), F.greatest("doc", "other").alias("v"))
+    buckets = common.materialize(keys.groupBy("bucket").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"), "near-buckets")
+    total = keys.count()
+    held = buckets.select("bucket", "first", "n", F.col("n").alias("of"))
+    members = common.materialize(common.spread_join(keys, held, "bucket", "of", total), "near-members")
+    common.drop(keys.sparkSession, keys.scratch_path, buckets.scratch_path)
+    # windows hold WHOLE rows at most
+    order = W.partitionBy("bucket").orderBy("doc")
+    small = members.where(F.col("n") <= WHOLE).select("doc", F.array(*[F.lead("doc", k).over(order) for k in range(1, WHOLE)]).alias("others"))
+    small = small.select("doc", F.explode("others").alias("other")).where("other is not null")
+    star = members.where(F.col("n") > WHOLE).where("doc <> first").select("doc", F.col("first").alias("other"))
+    pairs = small.union(star).select(F.least("doc", "other").alias("u"), F.greatest("doc", "other").alias("v"))
     pairs = common.materialize(pairs.distinct(), "near-pairs")
+    large = members.where(F.col("n") > WHOLE).select("doc", "bucket", "n")
     asked = pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc"))).distinct()
-    sets = common.materialize(common.arrow_map(docs.join(asked, "doc").select("doc", "text"), lambda it: _sets(it, width), "doc long, shingles binary").dropDuplicates(["doc"]), "near-sets")
-    one = pairs.join(sets.select(F.col("doc").alias("u"), F.col("shingles").alias("a")), "u")
+    sets = common.materialize(common.arrow_map(docs.join(asked, "doc").select("doc", "text"), lambda it: _sets(it, width), "doc long, shingles binary"), "near-sets")
+    firsts = pairs.groupBy("u").agg(F.count("*").alias("n")).join(sets.select(F.col("doc").alias("u"), F.col("shingles").alias("a")), "u")
+    one = common.spread_join(pairs, firsts, "u", "n", pairs.count())
     two = one.join(sets.select(F.col("doc").alias("v"), F.col("shingles").alias("b")), "v").select("u", "v", "a", "b")
-    some = common.materialize(common.arrow_map(two, lambda it: _similar(it, least), "u long, v long"), "near-links")
-    roots = graph.components(some)
-    large = keys.join(buckets.where(F.col("n") > WHOLE).select("bucket"), "bucket").distinct()
-    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").union(_across(large, roots, sets, least))
-
-
-def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    roots = graph.components(common.arrow_map(two, lambda it: _similar(it, least), "u long, v long"))
+    if large.limit(1).count():
+        top = W.partitionBy("doc").orderBy(F.col("n").desc(), "bucket")  # a text is in GROUPS buckets at most
+        largest = large.withColumn("r", F.row_number().over(top)).where("r = 1").drop("r")
+        for some in (largest, large):
+            more = _across(some, roots, sets, least)
+            if more is not None:
+                roots = graph.components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    return roots
+
+
+def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame | None:
     """Links between the components (node, root) that share a bucket of ``members(doc, bucket)``, from all pairs across components.
 
     The rows outside a bucket's largest component (minor) lie in blocks 0 to k - 1, those of the largest (major) in blocks from k on. Each
     minor block meets each other block in a cell of bounded size, and itself in the cell with block k. Two major rows need no comparison.
+    None if no bucket holds several components.
     """
     ship(members.sparkSession)
     sized = sets.select("doc", F.octet_length("shingles").cast("long").alias("size"))
     now = members.join(roots.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc")).join(sized, "doc")
+    now = common.materialize(now.select("doc", "bucket", "root", "size"), "near-now")
     parts = now.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    whole = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root", "size")).alias("major"), F.sum("size").alias("size"))
+    whole = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "root", "size")).alias("major"), F.sum("size").alias("size"))
     blocks = lambda size: F.greatest(F.lit(1), F.ceil(size / F.lit(BLOCK))).cast("long")
-    mixed = whole.where("parts > 1").select("bucket", F.col("major.root").alias("major"), blocks(F.col("size") - F.col("major.size")).alias("k"), blocks(F.col("major.size")).alias("m"))
-    rows = now.join(mixed, "bucket").withColumn("h", F.xxhash64("doc", "bucket"))
+    mixed = whole.where("parts > 1").select("bucket", "n", F.col("major.root").alias("major"), blocks(F.col("size") - F.col("major.size")).alias("k"), blocks(F.col("major.size")).alias("m"))
+    mixed = common.materialize(mixed, "near-mixed")
+    if not mixed.limit(1).count():
+        return None
+    rows = common.spread_join(now, mixed, "bucket", "n", now.count()).withColumn("h", F.xxhash64("doc", "bucket"))
     minor = F.col("root") != F.col("major")
     rows = rows.withColumn("block", F.when(minor, F.pmod("h", "k")).otherwise(F.col("k") + F.pmod("h", "m")))
     met = F.sequence(F.lit(0).cast("long"), F.when(minor, F.col("k") + F.col("m")).otherwise(F.col("k")) - 1)
@@ -304,7 +335,7 @@ def _cell(cell: pa.Table, least: float) -> pa.Table:
     """Links that join components within one cell: each row of block i against those of block j, and of i where j is the first major one."""
     i, j, k = (cell.column(c)[0].as_py() for c in ("i", "j", "k"))
     block, doc, comp = (cell.column(c).to_numpy().copy() for c in ("block", "doc", "root"))
-    sets = [np.frombuffer(x, np.uint32) for x in cell.column("shingles").to_pylist()]
+    sets = [np.frombuffer(x, np.uint64) for x in cell.column("shingles").to_pylist()]
     size = np.array([len(x) for x in sets])
     known, flat = np.unique(np.concatenate(sets), return_inverse=True)
     sets = np.split(flat, np.cumsum(size)[:-1])
@@ -328,14 +359,28 @@ def _cell(cell: pa.Table, least: float) -> pa.Table:
     return pa.table([pa.array(np.ascontiguousarray(e[:, c])) for c in (0, 1)], schema=LINKS)
 
 
+def near_rows(rows: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """__r and root of those of ``rows(__r, doc_id, text)`` that are linked to another, and __r and doc_id of the row that stays for them.
+
+    Of each group the row with the smallest doc_id stays (none is last; of equal ones that with the smallest number).
+    """
+    texts = rows.select(F.col("__r").alias("doc"), common.text_or_empty().cast("binary").alias("text"))
+    roots = common.materialize(similar_groups(texts, width, least).select(F.col("node").alias("__r"), "root"), "near-roots")
+    named = roots.join(rows.select("__r", F.col("doc_id").cast("long").alias("id")), "__r")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__r")).alias("best")
+    kept = named.groupBy("root").agg(best, F.count("*").alias("n")).select("root", F.col("best.id").alias("component_id"), F.col("best.__r").alias("keep"), "n")
+    return common.spread_join(roots, common.materialize(kept, "near-kept"), "root", "n", roots.count()).select("__r", "component_id", (F.col("__r") == F.col("keep")).alias("kept"))
+
+
 def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """doc_id and component_id of the rows of ``docs(doc_id, text)`` that are linked to another; component_id is the smallest doc_id.
+    """doc_id, component_id and kept of the rows of ``docs(doc_id, text)`` that are linked to another; component_id is the smallest doc_id.
 
     Links join texts whose sets of ``width``-word shingles (A-Z lower-cased; fewer words: the whole text) are ``least`` similar. Texts
-    without words (null, empty, blank) and rows without doc_id link to nothing; rows that repeat a doc_id count as one.
+    without words (null, empty, blank) link to nothing; rows with equal doc_id, or none, are rows of their own (component_id is null
+    where no row of the group has an id). One row of each group is kept, with the smallest doc_id.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), common.text_or_empty().cast("binary").alias("text"))
-    return graph.components(similar_pairs(rows, width, least)).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    rows = common.with_row(docs.select("doc_id", "text"))
+    return near_rows(rows, width, least).join(rows.select("__r", "doc_id"), "__r").select(F.col("doc_id").cast("long"), "component_id", "kept")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
