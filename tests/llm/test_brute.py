@@ -91,22 +91,23 @@ def test_exact_dedup_of_odd_rows(odd, empty):
     got = Counter(tuple(r) for r in exact_dedup.dedup(odd, bucket_rows=2).collect())
     rows = texts(odd)
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
-    want = Counter()
+    want, taken = Counter(), set()
     for i, t in rows:
         same = [(-len(u or ""), j is None, j or 0, j) for j, u in rows if norm(u) == norm(t)]
         keep = min(same)[3]
-        want[(i, keep, len(same), i == keep, hashlib.sha256(norm(t).encode()).hexdigest())] += 1
-    assert got == want
+        kept = i == keep and -len(t or "") == min(same)[0] and norm(t) not in taken
+        taken |= {norm(t)} if kept else set()
+        want[(i, keep, len(same), kept, hashlib.sha256(norm(t).encode()).hexdigest())] += 1
+    assert got == want and sum(n for k, n in got.items() if k[3]) == len({norm(t) for _, t in rows})
     assert exact_dedup.dedup(empty).count() == 0
 
 
 def test_colliding_keys_are_chained():
-    rows = [(7, "s1", b"one", 1, 3, 10), (7, "s2", b"two", 2, 3, 11), (7, "s1", b"one", 4, 5, 12), (8, "s3", b"x", 1, 1, None)]
+    rows = [(7, 1, b"one", 1, 3, 10), (7, 2, b"two", 2, 3, 11), (7, 3, b"one", 4, 5, 12), (8, 4, b"x", 1, 1, None)]
     import pyarrow as pa
 
-    schema = pa.schema(list(exact_dedup.ENTRY)[:6])
-    out = pa.Table.from_batches(exact_dedup.own(iter([common.batch(schema, **dict(zip(schema.names, zip(*rows), strict=True)))]))).to_pylist()
-    assert [(r["h"], r["link"], r["keep_id"], r["group_size"]) for r in out] == [(7, 0, 12, 5), (7, 1, 11, 2), (8, 0, None, 1)]
+    out = pa.Table.from_batches(exact_dedup.own(iter([common.batch(exact_dedup.ENTRY, **dict(zip(exact_dedup.ENTRY.names, zip(*rows), strict=True)))]))).to_pylist()
+    assert [(r["e"], r["keep_id"], r["group_size"], r["wins"]) for r in out] == [(1, 12, 5, False), (3, 12, 5, True), (2, 11, 2, True), (4, None, 1, True)]
 
 
 def test_shards_fit_their_limit(spark, odd, empty):
