@@ -265,6 +265,20 @@ def test_repeated_strings(spark, few, monkeypatch):
     assert got == brute_spans([(i, (t or "").encode()) for i, t in rows])
 
 
+def test_rows_without_an_id_of_their_own_are_told_apart(spark, monkeypatch):
+    """Null and repeated ids, whatever their texts have in common: a repeat in one row says nothing of another; and many ranges agree with few."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(None if i % 2 else 7, (passage if i % 3 == 0 else "") + " ".join(word() for _ in range(70))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_spans([(i, t.encode()) for i, t in rows])
+    assert Counter(tuple(r) for r in suffix_dedup.dedup(df).collect()) == want
+    monkeypatch.setattr(suffix_dedup, "RANGE_RUNS", 50)
+    monkeypatch.setattr(suffix_dedup, "RANGE_WINDOWS", 200)
+    assert Counter(tuple(r) for r in suffix_dedup.dedup(df).collect()) == want
+
+
 def test_repeated_strings_of_odd_rows(odd, empty, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 1 << 14)
     got = suffix_dedup.dedup(odd, with_spans=True).collect()
