@@ -1,16 +1,17 @@
 """Brown class-based bigram model: exchange clustering, class transitions, word emissions.
 
 Words are clustered by 2^22 hash units (nearly one word each, until there are millions), so that the class table has a fixed size at any
-corpus. The exchange is the predictive one, run over all units at once: a unit's profile counts the classes that follow its words; each
-sweep moves every unit to the class under whose transitions its profile is likeliest. P(w | v) = P(class w | class v) P(w | class w);
-emissions are discounted by counts of counts, and what that frees goes to unknown words.
+corpus. The exchange is the predictive one, in its published distributed form: a unit's profile counts the classes that follow its words;
+each sweep moves every unit to the class under whose transitions its profile is likeliest. After each round of sweeps the likelihood of the
+whole class model is taken anew, and a round that lowers it is taken back. P(w | v) = P(class w | class v) P(w | class w); emissions are
+discounted by counts of counts, and just what that frees goes to unknown words.
 
-Each pass over the corpus adds up, per task, arrays bounded by the class table before anything is shuffled.
+Word counts stay distributed: texts are coded in chunks, each with its own list of distinct words, and only these lists are joined with
+the counts. What the driver and a broadcast hold is bounded by the class table.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,19 +27,19 @@ from . import common
 FOLDS, HELD = 7, 2
 UNITS, CLASSES = 1 << 22, 32
 SEED = 42
-#: Most distinct words whose hashes and counts (12 bytes each) are broadcast; beyond, tokens are joined with the counts by a shuffle.
-VOCAB_BROADCAST = 16_000_000
 #: Re-profilings, and sweeps over the profiles after each.
 ROUNDS, SWEEPS = 2, 4
 KAPPA = 2.0
 BLOCK = 1 << 12
-SHARDS = 16
-COUNTER, CACHE, FLUSH = 250_000, 400_000, 2_000_000
+FLUSH = 2_000_000
+#: A chunk of coded texts has about so many tokens (a longer text is a chunk of its own).
+CHUNK = 200_000
 END = b"\n"  # no word holds white space
 
-COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-CODED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("units", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
-CODED_DDL = "doc_id long, held_out boolean, units array<int>, counts array<int>"
+#: A chunk: its distinct words and how often its training texts have each; its texts' ids, whether they are held out, their lengths in tokens,
+#: and their tokens as numbers of those words.
+CHUNKS = pa.schema([("chunk", pa.int64()), ("words", pa.list_(pa.binary())), ("train", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
+CHUNKS_DDL = "chunk long, words array<binary>, train array<long>, ids array<long>, held array<boolean>, sizes array<int>, tokens array<int>"
 PAIRS = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 PROFILE = pa.schema([("unit", pa.int32()), ("profile", pa.list_(pa.int64()))])
 TOTALS = pa.schema([("cell", pa.int32()), ("n", pa.float64())])
@@ -53,99 +54,69 @@ def hashes(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([xxhash.xxh64_digest(w, SEED) for w in words]), ">u8").astype(np.uint64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words of training texts, and of their ends; a task holds at most COUNTER words at a time and a text's own."""
-    counts: dict[bytes, int] = {}
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as chunks of about CHUNK tokens; each token, the end included, is the number of a word in its chunk's list."""
     for b in batches:
-        for t in b.column(0).to_pylist():
-            for w in t.lower().split():
-                counts[w] = counts.get(w, 0) + 1
-            counts[END] = counts.get(END, 0) + 1
-            if len(counts) >= COUNTER:
-                yield common.batch(COUNTS, word=list(counts), n=list(counts.values()))
-                counts = {}
-    if counts:
-        yield common.batch(COUNTS, word=list(counts), n=list(counts.values()))
+        ids, out = b.column(0).to_pylist(), b.column(1).to_pylist()
+        at = 0
+        while at < len(out):
+            number: dict[bytes, int] = {}
+            parts, size, first = [], 0, at
+            while at < len(out) and size < CHUNK:
+                words = [*b.column(2)[at].as_py().lower().split(), END]
+                parts.append(np.array([number.setdefault(w, len(number)) for w in words], np.int32))
+                size += len(words)
+                at += 1
+            some = [p for p, h in zip(parts, out[first:at], strict=True) if not h]
+            train = np.bincount(np.concatenate(some), minlength=len(number)) if some else np.zeros(len(number), np.int64)
+            yield common.batch(CHUNKS, chunk=[0], words=[list(number)], train=[train], ids=[ids[first:at]], held=[out[first:at]], sizes=[[len(p) for p in parts]], tokens=[np.concatenate(parts)])
+
 
+def chunked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks of ``docs(doc_id, held_out, text binary)``, and the counts of their training words: word, n, and the chunks that have it."""
+    chunks = common.arrow_map(docs, _chunks, CHUNKS_DDL).withColumn("chunk", F.monotonically_increasing_id())
+    chunks = common.materialize(chunks, "brown-chunks")  # written before the numbers are used
+    words = chunks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.train").alias("n"))
+    return chunks, common.materialize(words.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("chunks")), "brown-counts")
 
-class Vocabulary:
-    """Counts of training words by 64-bit hash, as sorted arrays."""
 
-    def __init__(self, h: np.ndarray, n: np.ndarray):
-        order = np.argsort(h)
-        self.h, self.n = h[order], n[order].astype(np.int32)
+def encode(chunks: DataFrame, counts: DataFrame, units: int) -> DataFrame:
+    """The chunks with the training count and the unit of each of their words.
 
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.h):
-            return np.zeros(len(h), np.int32)
-        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        return np.where(self.h[at] == h, self.n[at], 0)
+    A word is joined with its count once for each chunk that has it; the chunks of a frequent word are dealt over several tasks.
+    """
+    total = counts.agg(F.coalesce(F.sum("chunks"), F.lit(0))).first()[0]
+    found = common.spread_join(chunks.select("chunk", F.posexplode("words").alias("at", "word")), counts.where("n > 0"), "word", "chunks", int(total))
+    known = found.groupBy("chunk").agg(F.collect_list(F.struct("at", "n")).alias("known"))
+    joined = chunks.join(known, "chunk", "left").select("words", "ids", "held", "sizes", "tokens", F.col("known.at").alias("at"), F.col("known.n").alias("n"))
+    return common.materialize(common.arrow_map(joined, lambda it: _coded(it, units), CODED_DDL), "brown-coded")
 
 
-_CACHE: dict = {}
+CODED = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("units", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+CODED_DDL = "ids array<long>, held array<boolean>, sizes array<int>, tokens array<int>, units array<int>, counts array<long>"
 
 
-def _encode(batches: Iterator[pa.RecordBatch], held, units: int, mark: str) -> Iterator[pa.RecordBatch]:
-    """Unit and training count of each token, the end included, through a cache of words."""
-    cache = _CACHE["words"] if _CACHE.get("of") == mark else {}
-    _CACHE.update(of=mark, words=cache)
-    vocab: Vocabulary = held.value
+def _coded(batches: Iterator[pa.RecordBatch], units: int) -> Iterator[pa.RecordBatch]:
+    """Lists of words become lists of their units and training counts (0: unknown)."""
     for b in batches:
-        ids, out = b.column(0), b.column(1).to_pylist()
-        at = 0
-        while at < len(out):
-            docs, size, first = [], 0, at
-            while at < len(out) and size < 200_000:
-                docs.append([*b.column(2)[at].as_py().lower().split(), END])
-                size += len(docs[-1])
-                at += 1
-            flat = [w for d in docs for w in d]
-            new = list(set(flat) - cache.keys())
-            if new:
-                if len(cache) + len(new) > CACHE:
-                    cache.clear()
-                    new = list(set(flat))
-                h = hashes(new)
-                cache.update(zip(new, (vocab.counts(h).astype(np.int64) << 32 | unit_of(h, units)).tolist(), strict=True))
-            codes = np.array([cache[w] for w in flat], np.int64)
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(d) for d in docs])]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (codes & 0xFFFFFFFF, codes >> 32)]
-            yield pa.RecordBatch.from_arrays([ids.slice(first, at - first), pa.array(out[first:at], pa.bool_()), *lists], schema=CODED)
-
-
-def encode(docs: DataFrame, counts: DataFrame, distinct: int, units: int, most: int) -> DataFrame:
-    """CODED rows of ``docs(doc_id, held_out, text binary)``; the counts come by broadcast up to ``most`` words, else by a shuffle join."""
-    spark = docs.sparkSession
-    if distinct <= most:
-        h = F.xxhash64(F.col("word"))
-        parts = []
-        for k in range(SHARDS):  # a shard at a time, so that the driver holds little more than the two arrays
-            part = counts.where(F.pmod(h, F.lit(SHARDS)) == k).select(h.alias("h"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
-            parts.append((part.column("h").to_numpy().view(np.uint64), part.column("n").to_numpy().astype(np.int32)))
-        vocab = Vocabulary(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        del parts
-        held = spark.sparkContext.broadcast(vocab)
-        del vocab
-        mark = uuid.uuid4().hex
-        return common.materialize(common.arrow_map(docs, lambda it: _encode(it, held, units, mark), CODED_DDL), "brown-coded")
-    # rows of tokens; equal rows of documents stay apart by their number, which is written before it is used
-    words = F.split(F.regexp_replace(F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
-    listed = docs.select("doc_id", "held_out", F.concat(F.filter(words, lambda w: w != ""), F.array(F.lit(END.decode()))).alias("words"), F.monotonically_increasing_id().alias("row"))
-    tokens = common.materialize(listed.select("row", "doc_id", "held_out", F.posexplode("words").alias("pos", "w")), "brown-tokens")
-    joined = tokens.withColumn("word", F.col("w").cast("binary")).join(counts, "word", "left")
-    h = F.xxhash64(F.col("word"))
-    unit = F.shiftrightunsigned(h, 17).bitwiseAND(F.lit(units - 1)).cast("int")
-    coded = joined.select("row", "doc_id", "held_out", F.struct("pos", unit.alias("unit"), F.least(F.coalesce("n", F.lit(0)), F.lit(2**31 - 1)).cast("int").alias("n")).alias("t"))
-    grouped = coded.groupBy("row", "doc_id", "held_out").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    return common.materialize(grouped.select("doc_id", "held_out", F.col("t.unit").alias("units"), F.col("t.n").alias("counts")), "brown-coded")
-
-
-def _flat(b: pa.RecordBatch, train_only: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units and counts of a batch's tokens, and where each document begins."""
-    if train_only:
-        b = b.filter(pc.invert(b.column(1)))
-    u, c = b.column(2), b.column(3)
-    return u.flatten().to_numpy(), c.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(u).to_numpy(zero_copy_only=False))[:-1]]).astype(np.int64) if len(u) else np.zeros(0, np.int64)
+        for i in range(len(b)):
+            words = b.column(0)[i].as_py()
+            n = np.zeros(len(words), np.int64)
+            if b.column(5)[i].is_valid:
+                n[b.column(5)[i].values.to_numpy()] = b.column(6)[i].values.to_numpy()
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(x)) for x in (unit_of(hashes(words), units), n)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in (1, 2, 3, 4)), *lists], schema=CODED)
+
+
+def _flat(b: pa.RecordBatch, train_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
+    """Of each chunk: units and counts of its tokens, where each text begins, and the texts' ids and whether they are held out."""
+    for i in range(len(b)):
+        ids, held, sizes, tokens, units, counts = (b.column(k)[i].values for k in range(6))
+        held, sizes, tokens = held.to_numpy(zero_copy_only=False).astype(bool), sizes.to_numpy().astype(np.int64), tokens.to_numpy()
+        if train_only:
+            tokens, sizes = tokens[np.repeat(~held, sizes)], sizes[~held]
+        if len(sizes):
+            yield units.to_numpy()[tokens], counts.to_numpy()[tokens], np.cumsum(sizes) - sizes, ids, held
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], held, classes: int) -> Iterator[pa.RecordBatch]:
@@ -162,8 +133,7 @@ def _profiles(batches: Iterator[pa.RecordBatch], held, classes: int) -> Iterator
             s = slice(i, i + (1 << 16))
             yield pa.RecordBatch.from_arrays([pa.array((key[s] // classes // BLOCK).astype(np.int32)), pa.array(key[s]), pa.array(n[s])], schema=PAIRS)
 
-    for b in batches:
-        units, _, first = _flat(b, True)
+    for units, _, first, _, _ in (x for b in batches for x in _flat(b, True)):
         if len(units) < 2:
             continue
         keep = np.ones(len(units) - 1, bool)
@@ -230,32 +200,75 @@ def _move(batches: Iterator[pa.RecordBatch], held, classes: int) -> Iterator[pa.
 def _start(counts: DataFrame, units: int, classes: int) -> np.ndarray:
     """The most frequent words are classes of their own; all else is in the last class."""
     of = np.full(units, classes - 1, np.uint8)
-    top = counts.orderBy(F.col("n").desc(), "word").limit(classes - 1).collect()
+    top = counts.where("n > 0").orderBy(F.col("n").desc(), "word").limit(classes - 1).collect()
     if top:
         of[unit_of(hashes([bytes(r["word"]) for r in top]), units)] = np.arange(len(top))
     return of
 
 
-def cluster(coded: DataFrame, counts: DataFrame, units: int, classes: int, rounds: int, sweeps: int) -> np.ndarray:
-    """Exchange clustering: the class of each unit."""
+def _plogp(x: np.ndarray) -> float:
+    return float((x * np.log(np.maximum(x, 1))).sum())
+
+
+def likelihood(total: np.ndarray) -> float:
+    """The part of the class bigram model's log likelihood that depends on the classes, from the counts of neighbours by class."""
+    return _plogp(total) - _plogp(total.sum(axis=1)) - _plogp(total.sum(axis=0))
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], held, classes: int) -> Iterator[pa.RecordBatch]:
+    """Counts of (class, class of the next token) in training texts."""
+    of, total = held.value, np.zeros(classes * classes)
+    for units, _, first, _, _ in (x for b in batches for x in _flat(b, True)):
+        keep = np.ones(max(0, len(units) - 1), bool)
+        keep[first[1:] - 1] = False
+        c = of[units].astype(np.int64)
+        total += np.bincount((c[:-1] * classes + c[1:])[keep], minlength=classes * classes)
+    yield _cells(total)
+
+
+def cluster(coded: DataFrame, counts: DataFrame, units: int, classes: int, rounds: int, sweeps: int) -> tuple[np.ndarray, list[float]]:
+    """Exchange clustering: the class of each unit, and the likelihood at the start and after each round that was kept."""
     spark = coded.sparkSession
+
+    def value(of: np.ndarray) -> float:
+        now = spark.sparkContext.broadcast(of)
+        return likelihood(_sum_cells(common.arrow_map(coded, lambda it: _neighbours(it, now, classes), "cell int, n double"), (classes, classes)))
+
     of = _start(counts, units, classes)
+    trail = [value(of)]
     for _ in range(rounds):
-        held = spark.sparkContext.broadcast(of)
-        pairs = common.arrow_map(coded, lambda it, held=held: _profiles(it, held, classes), "block int, key long, n long")
-        profiles = common.materialize(common.arrow_map(pairs.repartition(common.partitions(spark), "block"), lambda it: _gather(it, classes), "unit int, profile array<long>"), "brown-profiles")
-        for _ in range(sweeps):
-            now = spark.sparkContext.broadcast(of)
-            total = _sum_cells(common.arrow_map(profiles, lambda it, now=now: _by_class(it, now, classes), "cell int, n double"), (classes, classes))
-            prior = (total.sum(axis=0) + 1) / (total.sum() + classes)
-            logs = spark.sparkContext.broadcast(np.log((total + KAPPA * prior) / (total.sum(axis=1, keepdims=True) + KAPPA)))
-            moved = common.arrow_map(profiles, lambda it, logs=logs: _move(it, logs, classes), "unit int, class int").toArrow()
-            of = of.copy()
-            of[moved.column("unit").to_numpy()] = moved.column("class").to_numpy()
-            del moved
-            now.unpersist()
-            logs.unpersist()
-        common.drop(spark, profiles.scratch_path)
+        after = _round(coded, of, classes, sweeps)
+        now = value(after)
+        if now <= trail[-1]:
+            break
+        of, trail = after, [*trail, now]
+    return of, trail
+
+
+def _round(coded: DataFrame, of: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
+    """The classes after sweeps over profiles whose following classes stay as they were; a sweep that makes the profiles less likely is undone."""
+    spark = coded.sparkSession
+    held = spark.sparkContext.broadcast(of)
+    pairs = common.arrow_map(coded, lambda it: _profiles(it, held, classes), "block int, key long, n long")
+    profiles = common.materialize(common.arrow_map(pairs.repartition(common.partitions(spark), "block"), lambda it: _gather(it, classes), "unit int, profile array<long>"), "brown-profiles")
+    before, last = of, -np.inf
+    for _ in range(sweeps):
+        now = spark.sparkContext.broadcast(of)
+        total = _sum_cells(common.arrow_map(profiles, lambda it, now=now: _by_class(it, now, classes), "cell int, n double"), (classes, classes))
+        likely = _plogp(total) - _plogp(total.sum(axis=1))
+        if likely <= last:
+            of = before if likely < last else of
+            break
+        last, before = likely, of
+        prior = (total.sum(axis=0) + 1) / (total.sum() + classes)
+        logs = spark.sparkContext.broadcast(np.log((total + KAPPA * prior) / (total.sum(axis=1, keepdims=True) + KAPPA)))
+        moved = common.arrow_map(profiles, lambda it, logs=logs: _move(it, logs, classes), "unit int, class int").toArrow()
+        of = of.copy()
+        of[moved.column("unit").to_numpy()] = moved.column("class").to_numpy()
+        del moved
+        now.unpersist()
+        logs.unpersist()
+    common.drop(spark, profiles.scratch_path)
     return of
 
 
@@ -270,8 +283,8 @@ class Model:
         self.trans = (moves + KAPPA * prior) / (moves.sum(axis=1, keepdims=True) + KAPPA)
         self.log_trans = np.log10(self.trans)
         self.mass = np.maximum(mass, 1.0)
-        # a class without discounted words still leaves an unknown word something
-        unknown = np.minimum(np.maximum(freed, 0.5) / self.mass, 0.9)
+        # an unknown word gets what the discounts of a class's words free, and all of a class without words
+        unknown = np.where(mass > 0, freed / self.mass, 1.0)
         unknown[classes] = 0
         self.log_unknown = np.log10(self.trans @ unknown)
 
@@ -288,7 +301,7 @@ class Model:
         before = np.concatenate([[self.classes], context[:-1]])
         before[first] = self.classes
         n = np.maximum(counts, 1)
-        emission = np.where(c == self.classes, 1.0, np.maximum(n - self.discount[np.minimum(n, 4)], 1e-9) / self.mass[c])
+        emission = np.where(c == self.classes, 1.0, (n - self.discount[np.minimum(n, 4)]) / self.mass[c])
         known = self.log_trans[before, c] + np.log10(emission)
         return np.where((counts > 0) | (c == self.classes), known, self.log_unknown[before])
 
@@ -297,10 +310,7 @@ def _totals(batches: Iterator[pa.RecordBatch], held, classes: int, discount: np.
     """Class transitions (and those after words seen once), mass and discounted mass of the classes, over training texts."""
     of, k = held.value, classes + 1
     moves, mass, freed = np.zeros((k + 1) * k), np.zeros(k), np.zeros(k)
-    for b in batches:
-        units, counts, first = _flat(b, True)
-        if not len(units):
-            continue
+    for units, counts, first, _, _ in (x for b in batches for x in _flat(b, True)):
         c = of[units].astype(np.int64)
         last = np.concatenate([first[1:] - 1, [len(units) - 1]])
         c[last] = classes
@@ -330,17 +340,14 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 def _score(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     model: Model = held.value
     floor = np.log10(model.n + model.v + 1)
-    for b in batches:
-        units, counts, first = _flat(b, False)
-        if not len(first):
-            continue
+    for units, counts, first, ids, out in (x for b in batches for x in _flat(b, False)):
         size = np.diff(np.concatenate([first, [len(units)]]))
         base = np.add.reduceat(np.log10(counts + 1.0), first) - size * floor
         known = np.add.reduceat((counts > 0).astype(np.int64), first)
-        yield common.batch(SCORES, doc_id=b.column(0), held_out=b.column(1), n_tokens=size, n_known=known, train_tokens=np.full(len(first), model.n), base_score=base, score=np.add.reduceat(model.log10(units, counts, first), first))
+        yield common.batch(SCORES, doc_id=ids, held_out=out, n_tokens=size, n_known=known, train_tokens=np.full(len(first), model.n), base_score=base, score=np.add.reduceat(model.log10(units, counts, first), first))
 
 
-def score(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, rounds: int = ROUNDS, sweeps: int = SWEEPS, most: int = VOCAB_BROADCAST) -> DataFrame:
+def score(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, rounds: int = ROUNDS, sweeps: int = SWEEPS) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words between white space (space, U+0009 to U+000D), A-Z lower-cased, and an end for each text; null text counts as empty.
@@ -348,23 +355,30 @@ def score(docs: DataFrame, units: int = UNITS, classes: int = CLASSES, rounds: i
     log10 probability, score that of the class model; both take all unknown words as one. Repeated rows count as often as they occur.
     Other columns are ignored; an empty table gives no rows.
     """
+    return fit(docs, units, classes, rounds, sweeps)[0]
+
+
+def fit(docs: DataFrame, units: int, classes: int, rounds: int, sweeps: int) -> tuple[DataFrame, Model, list[float]]:
+    """The scores of ``score``, the model behind them, and the likelihood after each round of its clustering."""
     spark = docs.sparkSession
+    common.bound_batches(spark)
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
     rows = docs.select(F.col("doc_id").cast("long"), (fold == HELD).alias("held_out"), common.text_or_empty().cast("binary").alias("text"))
-    words = common.arrow_map(rows.where(~F.col("held_out")).select("text"), _count, "word binary, n long")
-    counts = common.materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "brown-counts")
-    common.release(spark)
+    chunks, counts = chunked(rows)
     seen = [F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), *seen).first()
-    coded = encode(rows, counts, facts["v"], units, most)
-    of = cluster(coded, counts, units, classes, rounds, sweeps)
+    facts = counts.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), *seen).first()
+    coded = encode(chunks, counts, units)
+    common.drop(spark, chunks.scratch_path)
+    common.release(spark)
+    of, trail = cluster(coded, counts, units, classes, rounds, sweeps)
     discount = discounts(*(facts[f"n{k}"] for k in (1, 2, 3, 4)))
     held = spark.sparkContext.broadcast(of)
     k = classes + 1
     total = _sum_cells(common.arrow_map(coded, lambda it: _totals(it, held, classes, discount), "cell int, n double"), ((k + 3) * k,))
-    model = spark.sparkContext.broadcast(Model(of, classes, discount, total, facts["n"], facts["v"]))
+    made = Model(of, classes, discount, total, facts["n"], facts["v"])
+    model = spark.sparkContext.broadcast(made)
     common.release(spark)
-    return common.arrow_map(coded, lambda it: _score(it, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return common.arrow_map(coded, lambda it: _score(it, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), made, trail
 
 
 def op4_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,13 +207,51 @@ def test_class_model(docs, odd, empty):
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok(t)), rel_tol=1e-9)
     out = got[got.held_out]
     assert out.score.sum() > 0.9 * out.base_score.sum() and (out.score > out.base_score).mean() > 0.8
-    joined = brown.score(docs, units=1 << 16, most=0).toPandas().set_index("doc_id").loc[got.index]
-    assert np.allclose(joined.score, got.score, rtol=1e-6) and np.allclose(joined.base_score, got.base_score)
     some = brown.score(odd, units=1 << 12, rounds=1, sweeps=1).toPandas()
     assert len(some) == odd.count() and np.isfinite(some.score).all()
     assert brown.score(empty, units=1 << 12, rounds=1, sweeps=1).count() == 0
 
 
+def test_class_scores_are_those_of_a_direct_computation(docs):
+    """Given the classes, every score from plain counts; the likelihood rises with every round that is kept."""
+    frame, model, trail = brown.fit(docs, 1 << 16, 6, 2, 3)
+    got = {r["doc_id"]: r for r in frame.collect()}
+    assert len(trail) > 1 and all(a < b for a, b in zip(trail, trail[1:], strict=False))
+    tok = lambda t: (t or "").encode().lower().split()
+    rows = [(i, tok(t), zlib.crc32(str(i).encode()) % 7 == 2) for i, t in texts(docs)]
+    train = [w for _, w, h in rows if not h]
+    n = Counter(w for t in train for w in [*t, brown.END])
+    of = {w: int(model.of[brown.unit_of(brown.hashes([w]), 1 << 16)[0]]) for w in n}
+    by = Counter(n.values())
+    d = brown.discounts(*(by[k] for k in (1, 2, 3, 4)))
+    mass, freed, moves = Counter(), Counter(), defaultdict(Counter)
+    for w in n:
+        if w != brown.END:
+            mass[of[w]] += n[w]
+            freed[of[w]] += d[min(n[w], 4)]
+    for t in train:
+        last, rare = 6, False
+        for w in [*t, brown.END]:
+            c = 6 if w == brown.END else of[w]
+            moves[last][c] += 1
+            if rare:
+                moves[7][c] += 1
+            last, rare = c, n[w] == 1
+    mass[6] = len(train)
+    prior = {c: (mass[c] + 0.1) / (sum(mass.values()) + 0.7) for c in range(7)}
+    trans = lambda b, c: (moves[b][c] + 2 * prior[c]) / (sum(moves[b].values()) + 2)
+    for i, t, _ in rows:
+        last, total = 6, 0.0
+        for w in t:
+            if n[w]:
+                total += math.log10(trans(last, of[w]) * (n[w] - d[min(n[w], 4)]) / mass[of[w]])
+                last = of[w]
+            else:
+                total += math.log10(sum(trans(last, c) * (freed[c] / mass[c] if mass[c] else 1) for c in range(6)))
+                last = 7
+        assert math.isclose(got[i]["score"], total + math.log10(trans(last, 6)), rel_tol=1e-9)
+
+
 def test_class_model_is_a_distribution():
     """Over the vocabulary, the end and the unknown word, the probabilities after any class add up to 1."""
     classes, k = 2, 3
@@ -227,6 +265,12 @@ def test_class_model_is_a_distribution():
     for c in range(k + 1):
         known = sum(m.trans[c, of[w]] * (n[w] - d[min(n[w], 4)]) / m.mass[of[w]] for w in range(4))
         assert math.isclose(known + m.trans[c, classes] + 10 ** m.log_unknown[c], 1.0, rel_tol=1e-9)
+    # a class that frees little, and one without words
+    of = np.array([0, 0, 0, 0], np.uint8)
+    small = brown.Model(of, classes, np.full(5, 0.05), np.concatenate([moves, [10.0, 0.0, 10.0], [0.2, 0.0, 0.0]]), 20, 5)
+    for c in range(k + 1):
+        known = sum(small.trans[c, 0] * (n[w] - 0.05) / 10 for w in range(4))
+        assert math.isclose(known + small.trans[c, classes] + 10 ** small.log_unknown[c], 1.0, rel_tol=1e-9)
 
 
 # --- 6 -----------------------------------------------------------------------------------------------------------------------------
