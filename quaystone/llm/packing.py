@@ -84,16 +84,18 @@ def pack(docs: DataFrame, path: str | None = None, most: int = SEQUENCE) -> Data
     spark = docs.sparkSession
     path = path or tokens.default_path()
     rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().alias("text"))
-    pieces = common.materialize(common.arrow_map(rows, lambda it: cut(it, path, most), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pack-pieces")
+    pieces = common.arrow_map(rows, lambda it: cut(it, path, most), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    # numbered where they are written, before the numbers are used: equal rows are pieces of their own and spread over the blocks
+    pieces = common.materialize(pieces.withColumn("piece", F.monotonically_increasing_id()), "pack-pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     blocks = max(1, -(-sum(counts.values()) // BLOCK_ROWS))
     table = slots(spf_patterns(counts, most))
     places = spark.createDataFrame(table, "length long, lo long, hi long, first long, offset long, sequence_tokens long")
     # the rank of a piece among those of its length: a rank within a block of rows, after the blocks before; no window holds a whole length
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)))
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(blocks)))
     before = dealt.groupBy("length", "block").count()
     before = before.select("length", "block", (F.sum("count").over(W.partitionBy("length").orderBy("block")) - F.col("count")).alias("before"))
-    rank = F.row_number().over(W.partitionBy("length", "block").orderBy("doc_id", "start", "ids_crc32")) - 1
+    rank = F.row_number().over(W.partitionBy("length", "block").orderBy("piece")) - 1
     ranked = dealt.withColumn("rank", rank).join(before, ["length", "block"]).withColumn("rank", F.col("rank") + F.col("before"))
     # at most a few entries for each of at most `most` lengths
     placed = ranked.join(F.broadcast(places) if len(table) <= common.BROADCAST_ROWS else places, "length").where("rank >= lo and rank < hi")
