@@ -364,6 +364,49 @@ def test_planted_items_are_found(spark, sf, odd, empty):
     assert decontaminate.matches(empty, bench).count() == 0
 
 
+def fewest_edits(item, text):
+    """Least edit distance between the item and a stretch of the text."""
+    row = np.zeros(len(text) + 1, int)
+    t = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    for i, x in enumerate(item, 1):
+        new = np.minimum(row[1:] + 1, row[:-1] + (t != ord(x)))
+        new = np.concatenate([[i], new])
+        new = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        row = new
+    return int(row.min())
+
+
+def test_hits_are_those_of_aligning_everything(spark):
+    """Items of all lengths, repeated ones and near misses: the very pairs within the budget, with their fewest edits, in one block and in many."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 6)))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 2, 3, 3, 4, 5, 6, 8, 10, 12, 20, 30, 45])]
+    items += [(3, items[3][1]), (50, "ab"), (51, "abcdefg"), (52, ""), (53, None), (54, "Ab  cd")]
+    rows = []
+    for k in range(160):
+        t = list(rng.choice(items[:13])[1])
+        for _ in range(rng.randint(0, 1 + len(t) // 7)):
+            at = rng.randrange(len(t))
+            t[at] = rng.choice(["", "z", t[at] + "y"])
+        rows.append((k, " ".join(word() for _ in range(rng.randint(0, 12))) + " " + "".join(t) + " " + " ".join(word() for _ in range(rng.randint(0, 12)))))
+    rows += [(200, "x ab cd y"), (201, "xab cdy ab"), (202, None), (203, "")]
+    want = Counter()
+    for d, t in rows:
+        t = decontaminate.normalise(t or "")
+        for i, x in items:
+            x = decontaminate.normalise(x or "")
+            if 0 < len(x) < 8:
+                if f" {x} " in f" {t} ":
+                    want[(d, i, 0)] += 1
+            elif x and (e := fewest_edits(x, t)) <= len(x) // 10:
+                want[(d, i, e)] += 1
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for chars in (decontaminate.BLOCK_CHARS, 150):
+        got = Counter((r["doc_id"], h["item_id"], h["edits"]) for r in decontaminate.matches(df, bench, block_chars=chars).collect() for h in r["__hits"])
+        assert got == want
+    assert len({i for _, i, _ in want}) > 10 and any(e > 2 for _, _, e in want)
+
+
 def test_banded_alignment_is_edit_distance():
     rng = random.Random(2)
     code = lambda s: np.frombuffer(s.encode("utf-32-le"), np.uint32)
@@ -423,6 +466,63 @@ def test_long_texts_train_whole():
     assert sum(sum(b.column(3).to_pylist()) for b in out) == 9001
 
 
+def slow_kneser_ney(texts_, words):
+    """log10 P of words and an end by interpolated modified Kneser-Ney from plain counts; what was never seen shares the lowest order's rest."""
+    tri, one = Counter(), lambda c: {k: sum(v == k for v in c.values()) for k in (1, 2, 3, 4)}
+    for t in texts_:
+        w = ["<s>", "<s>", *t.split(), "</s>"]
+        tri.update(zip(w, w[1:], w[2:], strict=False))
+
+    def cuts(c):
+        n = one(c)
+        if not n[1] or not n[2]:
+            return lambda k: 0.5
+        y = n[1] / (n[1] + 2 * n[2])
+        raw = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2] if n[3] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] and n[4] else 1.5]
+        held = [min(max(raw[0], 0.05), 0.95), min(max(raw[1], 0.05), 1.95), min(max(raw[2], 0.05), 2.95)]
+        return lambda k: held[min(k, 3) - 1]
+
+    bi = Counter((v, w) for _, v, w in tri)
+    uni = Counter(w for _, w in bi)
+    d3, d2, d1 = cuts(tri), cuts(bi), cuts(uni)
+    vocab = {w for _, _, w in tri} - {"</s>"}
+
+    def level(table, context, w, cut, lower):
+        held = {k[-1]: n for k, n in table.items() if k[:-1] == context}
+        total = sum(held.values())
+        if not total:
+            return lower
+        return (held[w] - cut(held[w]) if w in held else 0) / total + sum(map(cut, held.values())) / total * lower
+
+    out, w = 0.0, ["<s>", "<s>", *words.split(), "</s>"]
+    total = sum(uni.values())
+    for u, v, x in zip(w, w[1:], w[2:], strict=False):
+        lowest = (uni[x] - d1(uni[x]) if uni[x] else 0) / total + sum(map(d1, uni.values())) / total / (len(vocab) + 2)
+        out += math.log10(level(tri, (u, v), x, d3, level(bi, (v,), x, d2, lowest)))
+    return out
+
+
+def test_probabilities_are_those_of_a_direct_computation(spark):
+    rng = random.Random(31)
+    text = lambda: " ".join(rng.choice("a b c d e f g hh ii jj kk ll".split()[: rng.randint(3, 12)]) for _ in range(rng.randint(0, 25)))
+    train = [text() for _ in range(60)]
+    m = kneser_ney.fit(spark.createDataFrame([(bytearray(t.encode()),) for t in train], "text binary"))
+    asked = [text() for _ in range(40)] + ["", "zz", "a zz b", "zz zz a b c"]
+    got = m.log10([t.encode().split() for t in asked], {})
+    assert np.allclose(got, [slow_kneser_ney(train, t) for t in asked], rtol=1e-9)
+
+
+def test_many_languages_and_words_stay_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SAMPLE_ALL", 50)
+    rows = [(i, f"w{i} common words here {i % 7}", f"l{i}") for i in range(300)] + [(1, "again", "l1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    assert kneser_ney.training_sample(df, kneser_ney.trusted(labels), 5).count() == 50
+    assert kneser_ney.quality(df, labels).count() == 301
+    m = kneser_ney.fit(df.select(F.col("text").cast("binary").alias("text")), most_words=20)
+    assert len(m.vocab) == 20 and np.isfinite(m.log10([[b"common", b"words", b"w5"]], {})).all()
+
+
 def test_kneser_ney_is_a_distribution(spark):
     texts_ = ["a b c a b d", "a b c", "c a b b", "d d a c"]
     df = spark.createDataFrame([(bytearray(t.encode()),) for t in texts_], "text binary")
