@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import array
 import json
+from collections.abc import Iterator
 
 import regex
 
@@ -59,6 +60,18 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.fast = fast_bpe(path)
 
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def special(self, text: str) -> bool:
+        """Whether a special token's spelling is in the text, which the tokenizer cuts out before anything else."""
+        return any(x in text for x in self.specials)
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """Places of the pre-tokens: by the pattern, or by the tokenizer itself where Unicode versions may differ on a character."""
+        if not UNSURE.search(text):
+            return (m.span() for m in PRETOKEN.finditer(text))
+        return (place for _, place in self.tokenizer.pre_tokenizer.pre_tokenize_str(text))
+
     def whole(self, text: str) -> bytes:
         return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 

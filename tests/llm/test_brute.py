@@ -128,18 +128,36 @@ def test_shards_fit_their_limit(spark, odd, empty):
 def test_edits_count_like_encoding_anew(spark, odd, empty):
     enc = tokens.encoder(tokens.default_path())
     rng = random.Random(3)
-    base = ["", "a", "  x", "don't stop 123 times!!\n\n  ok", "one two  three\tfour's " * 60, "word " * 3000]
+    base = ["", "a", "Ελλάδα 12€ и мир  日本語 😀\n\n don't " * 40, "  x", "don't stop 123 times!!\n\n  ok", "one two  three\tfour's " * 60, "word " * 3000]
     for text in base * 6:
         tree, now = edit_counts.PieceTree.of(text, enc), text
         for _ in range(5):
             s = rng.randint(0, len(now) + 2)
-            e, t = s + rng.choice([0, 1, 3, 40, 900]), rng.choice(["", " ", "'s", "\n", "12", "foo bar ", "re " * 300])
+            e, t = s + rng.choice([0, 1, 3, 40, 900]), rng.choice(["", " ", "'s", "\n", "12", "ж", "語 ", "foo bar ", "re " * 300])
             tree.edit(s, e, t)
             cut = min(s, len(now))
             now = now[:cut] + t + now[max(cut, min(e, len(now))) :]
             assert tree.text() == now and tree.count == len(enc.whole(now)) // 4
-    got = edit_counts.edited_counts(edit_counts.with_edits(odd)).collect()
-    assert len(got) == odd.count() and all(r["tokens_after"] >= 0 for r in got)
+    def after(text, edits):
+        for e in edits:
+            s = min(max(e["start"], 0), len(text))
+            text = text[:s] + e["text"] + text[max(s, min(e["end"], len(text))) :]
+        return text
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for df in (odd, docs):
+        rows = edit_counts.with_edits(df).select("doc_id", "text", "edits").collect()
+        want = Counter((r["doc_id"], len(enc.whole(r["text"] or "")) // 4, len(enc.whole(after(r["text"] or "", r["edits"]))) // 4) for r in rows)
+        for got in (edit_counts.edited_counts(edit_counts.with_edits(df)), edit_counts.apply_edits(edit_counts.with_edits(edit_counts.trees(df)))):
+            assert Counter((r["doc_id"], r["tokens_before"], r["tokens_after"]) for r in got.collect()) == want
+    # two batches of edits against stored trees; few pre-tokens are encoded anew
+    once = edit_counts.apply_edits(edit_counts.with_edits(edit_counts.trees(docs)), trees_too=True)
+    texts_ = {r["doc_id"]: r["text"] for r in once.select("doc_id", "text").collect()}
+    twice = {r["doc_id"]: r for r in edit_counts.apply_edits(edit_counts.with_edits(once)).collect()}
+    again = {r["doc_id"]: r["edits"] for r in edit_counts.with_edits(once).select("doc_id", "edits").collect()}
+    for i, t in texts_.items():
+        assert twice[i]["tokens_before"] == len(enc.whole(t)) // 4 and twice[i]["tokens_after"] == len(enc.whole(after(t, again[i]))) // 4
+    assert sum(r["pieces_encoded"] for r in twice.values()) < 0.3 * sum(r["pieces"] for r in twice.values())
     assert edit_counts.edited_counts(odd.withColumn("edits", F.lit(None))).where("tokens_before <> tokens_after").count() == 0
     assert edit_counts.edited_counts(edit_counts.with_edits(empty)).count() == 0
 
