@@ -1,8 +1,8 @@
 """WARC archives and their index, merged externally from locally sorted runs.
 
 Pages become WARC 1.1 records, each a gzip member of its own, in archives in the shared folder; a page whose payload another page with a
-smaller id has too becomes a revisit record. Reading the archives back gives one run of index entries per archive, sorted by URL key and
-timestamp. Splitters from a bounded sample cut the runs into ranges, and each range's k runs are merged by a loser tree.
+smaller id has too becomes a revisit record. Archives are read back record by record, in splits of bounded size, and each split gives one
+run of index entries, sorted by URL key and timestamp. Splitters from a bounded sample cut the runs into ranges, and each range's k runs are merged by a loser tree.
 """
 
 from __future__ import annotations
@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
-import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -20,12 +19,14 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Most records of an archive, rows of a merged range, and ranges (so that the sample of keys stays bounded).
-ARCHIVE_RECORDS, RANGE_ROWS, MAX_RANGES, SAMPLE_PER_RANGE = 5000, 20_000, 4096, 32
+#: Most records of an archive, about as many rows of a merged range, most ranges (they grow beyond), and keys of the sample for each.
+ARCHIVE_RECORDS, RANGE_ROWS, MAX_RANGES, SAMPLE_PER_RANGE = 5000, 20_000, 1 << 16, 32
+SAMPLE_KEYS = 1 << 19
 BLOCK_ROWS = 2048
 #: A gzip member of nothing: it separates the members that Spark's text writer writes as lines.
 EMPTY_MEMBER = "\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
@@ -33,7 +34,7 @@ EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 URN = "urn:quaystone:page:"
 LAST = 1 << 63
 
-MEMBERS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("sha", pa.string()), ("n", pa.int64()), ("member", pa.binary())])
+MEMBERS = pa.schema([("page_id", pa.int64()), ("sha", pa.string()), ("member", pa.binary())])
 LINES = pa.schema([("member", pa.binary())])
 ENTRY = pa.schema([("run", pa.string()), ("url_key", pa.string()), ("ts", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())])
 BLOCKS = pa.schema([("range_no", pa.int32()), ("run", pa.string()), ("seq", pa.int32()), ("block", pa.binary())])
@@ -86,43 +87,35 @@ def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols = [b.column(i).to_pylist() for i in range(4)]
         out = [record(p, u, html, sha, len(html)) for p, u, html, sha in zip(*cols, strict=True)]
-        yield common.batch(MEMBERS, page_id=cols[0], url=cols[1], sha=cols[3], n=[len(x) for x in cols[2]], member=out)
+        yield common.batch(MEMBERS, page_id=cols[0], sha=cols[3], member=out)
 
 
 def _revisits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cols = [b.column(i).to_pylist() for i in range(6)]
-        yield common.batch(LINES, member=[m if p == first else record(p, u, None, sha, n, first) for p, u, sha, n, m, first in zip(*cols, strict=True)])
+        cols = [b.column(i).to_pylist() for i in range(5)]
+        yield common.batch(LINES, member=[record(p, u, None, sha, n, first) for p, u, sha, n, first in zip(*cols, strict=True)])
 
 
 def write_archives(pages: DataFrame, path: str, records_per_file: int = ARCHIVE_RECORDS) -> None:
     """Write ``pages(page_id, url, html)`` as WARC records. Payload: html in UTF-8, null as empty.
 
     Of equal payloads, empty ones too, the rows with the smallest page_id are responses (repeated rows all are) and the others revisit it; a
-    null page_id is larger than any other. The payload moves compressed, and once.
+    null page_id is larger than any other. Which is which is found on ids and digests alone; only responses' payloads move, compressed,
+    and dealt by (page_id, digest), so that copies do not meet in one task. Other columns are ignored.
     """
+    spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), common.text_or_empty("html").cast("binary").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
-    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
+    known = common.materialize(rows.select("page_id", "url", "sha", F.octet_length("payload").cast("long").alias("n")), "warc-digests")
+    firsts = common.materialize(known.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("of")), "warc-firsts")
+    named = common.spread_join(known, firsts, "sha", "of", known.count())
+    revisits = common.arrow_map(named.where("not (page_id <=> first)").select("page_id", "url", "sha", "n", "first"), _revisits, ddl(LINES))
     members = common.arrow_map(rows.select("page_id", "url", "payload", "sha"), _responses, ddl(MEMBERS))
-    joined = members.join(firsts, "sha").select("page_id", "url", "sha", "n", "member", "first")
-    lines = common.arrow_map(joined, _revisits, ddl(LINES))
+    first = firsts.select(F.col("sha").alias("__sha"), "first")
+    responses = members.join(first, F.col("page_id").eqNullSafe(F.col("first")) & (F.col("sha") == F.col("__sha")), "left_semi").select("member")
+    lines = responses.union(revisits)
     lines.select(F.col("member").cast("string").alias("value")).write.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
-
-
-def members(data: memoryview) -> Iterator[tuple[int, int, bytes]]:
-    """Offset, length and content of each gzip member that is not empty."""
-    at, step = 0, 1 << 16
-    while at < len(data):
-        gz, parts, start, fed = zlib.decompressobj(31), [], at, at
-        while not gz.eof:
-            if fed >= len(data):
-                raise ValueError("archive ends within a record")
-            parts.append(gz.decompress(data[fed : fed + step]))
-            fed = min(fed + step, len(data))
-        at = fed - len(gz.unused_data)
-        if any(parts):
-            yield start, at - start, b"".join(parts)
+    common.drop(spark, known.scratch_path, firsts.scratch_path)
 
 
 def parse(content: bytes) -> tuple[dict[str, str], bytes]:
@@ -159,14 +152,41 @@ def order(e: tuple) -> tuple:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sorted run for each archive."""
+    """Records in the order of their split: one sorted run for each split, with places relative to its first record."""
+    run, at, held = None, 0, []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        held.sort(key=order)
+        for i in range(0, len(held), 4096):
+            part = held[i : i + 4096]
+            yield common.batch(ENTRY, run=[run] * len(part), **dict(zip(ENTRY.names[1:], zip(*part), strict=True)))
+
     for b in batches:
-        for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+        for path, start, member in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             file = path.rsplit("/", 1)[-1]
-            found = sorted((entry(file, *m) for m in members(memoryview(content.as_buffer()))), key=order)
-            for i in range(0, len(found), 4096):
-                part = found[i : i + 4096]
-                yield common.batch(ENTRY, run=[file] * len(part), **dict(zip(ENTRY.names[1:], zip(*part), strict=True)))
+            if run != f"{file}#{start}":
+                yield from close()
+                run, at, held = f"{file}#{start}", 0, []
+            if member:
+                held.append(entry(file, at, len(member), zlib.decompress(member, 31)))
+            at += len(member) + len(EMPTY_MEMBER)
+    yield from close()
+
+
+CELLS = pa.schema(list(ENTRY)[1:])
+
+
+def _packed(entries: list[tuple]) -> bytes:
+    """Entries as an Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, CELLS) as out:
+        out.write_batch(common.batch(CELLS, **dict(zip(CELLS.names, zip(*entries), strict=True))))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(block: bytes) -> Iterator[tuple]:
+    table = pa.ipc.open_stream(block).read_all()
+    return zip(*(c.to_pylist() for c in table.columns), strict=True)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], splitters: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +197,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], splitters: list[tuple]) -> Iterat
 
     def flush() -> Iterator[pa.RecordBatch]:
         if held:
-            yield common.batch(BLOCKS, range_no=[at[1]], run=[f"{at[0]}#{task}"], seq=[at[2]], block=[pickle.dumps(held)])
+            yield common.batch(BLOCKS, range_no=[at[1]], run=[f"{at[0]}#{task}"], seq=[at[2]], block=[_packed(held)])
             at[2] += 1
             held.clear()
 
@@ -239,7 +259,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def one(blocks: list[bytes]) -> Iterator[tuple]:
         for x in blocks:
-            yield from pickle.loads(x)
+            yield from _unpacked(x)
 
     def close() -> Iterator[pa.RecordBatch]:
         part, pos = [], 0
@@ -265,14 +285,23 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def index(spark: SparkSession, path: str) -> DataFrame:
     """The merged index of the archives in ``path``: entries in global order of (range_no, pos), which is that of URL key and timestamp."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    runs = common.materialize(common.arrow_map(files, _read, ddl(ENTRY)), "index-runs")
+    lines = spark.read.option("lineSep", EMPTY_MEMBER).option("encoding", "ISO-8859-1").text(path)
+    split = F.col("_metadata.file_block_start")
+    records = lines.select(F.col("_metadata.file_path").alias("path"), split.alias("start"), F.col("value").cast("binary").alias("member"))
+    runs = common.materialize(common.arrow_map(records, _read, ddl(ENTRY)), "index-runs")
+    # a split's first record lies after all records of the splits before it in its file; each ends with an empty member
+    ends = runs.groupBy("file", "run").agg(F.max(F.col("offset") + F.col("length") + len(EMPTY_MEMBER)).alias("size"))
+    ends = ends.withColumn("at", F.substring_index("run", "#", -1).cast("long"))
+    bases = ends.select("run", (F.sum("size").over(W.partitionBy("file").orderBy("at")) - F.col("size")).alias("base"))
+    few = bases.count() <= common.BROADCAST_ROWS
+    placed = runs.join(F.broadcast(bases) if few else bases, "run").withColumn("offset", F.col("offset") + F.col("base")).select(*ENTRY.names)
+    runs = common.materialize(placed if few else placed.sortWithinPartitions("run", "url_key", "ts", F.coalesce("page_id", F.lit(LAST - 1)), "file", "offset"), "index-placed")
     rows = runs.count()
     ranges = max(1, min(MAX_RANGES, -(-rows // RANGE_ROWS)))
     splitters: list[tuple] = []
     if ranges > 1:
         keys = runs.select("url_key", "ts", F.coalesce("page_id", F.lit(LAST - 1)), "file", "offset")
-        part = F.pmod(F.xxhash64("file", "offset"), F.lit(max(1, rows // (SAMPLE_PER_RANGE * ranges)))) == 0
+        part = F.pmod(F.xxhash64("file", "offset"), F.lit(max(1, rows // min(SAMPLE_KEYS, SAMPLE_PER_RANGE * ranges)))) == 0
         sample = sorted(tuple(r) for r in keys.where(part).collect())
         splitters = sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
     blocks = common.arrow_map(runs, lambda it: _blocks(it, splitters), ddl(BLOCKS))
@@ -284,4 +313,6 @@ def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.scratch(spark, "warc")
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     common.release(spark)
-    return index(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "range_no", "pos")
+    out = index(spark, path)
+    common.drop(spark, path)  # the runs are written: this result needs the archives no more
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "range_no", "pos")

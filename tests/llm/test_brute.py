@@ -62,6 +62,24 @@ def test_warc_round_trip(spark, tmp_path):
         assert fields["warc-type"] == r["record_type"]
 
 
+def test_archives_are_read_in_splits(spark, tmp_path):
+    """Splits that begin within records and within separators: every record is read once, at its own place."""
+    pages = spark.range(120).select(F.col("id").alias("page_id"), F.lit("http://h.example/").alias("url"), F.concat(F.repeat(F.sha2(F.col("id").cast("string"), 512), 3), F.col("id").cast("string")).alias("html"))
+    warc_index.write_archives(pages.coalesce(1), str(tmp_path / "w"), records_per_file=500)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for size in (777, 5000):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        got = warc_index.index(spark, str(tmp_path / "w")).collect()
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert sorted(r["page_id"] for r in got) == list(range(120))
+        for r in got:
+            data = (tmp_path / "w" / r["file"]).read_bytes()
+            fields, _ = warc_index.parse(zlib.decompress(data[r["offset"] : r["offset"] + r["length"]], 31))
+            assert fields["warc-record-id"].endswith(f":{r['page_id']}>")
+
+
 def test_warc_empty(spark, tmp_path):
     path = str(tmp_path / "w")
     warc_index.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
