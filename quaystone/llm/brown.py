@@ -6,8 +6,9 @@ each sweep moves every unit to the class under whose transitions its profile is
 whole class model is taken anew, and a round that lowers it is taken back. P(w | v) = P(class w | class v) P(w | class w); emissions are
 discounted by counts of counts, and just what that frees goes to unknown words.
 
-Word counts stay distributed: texts are coded in chunks, each with its own list of distinct words, and only these lists are joined with
-the counts. What the driver and a broadcast hold is bounded by the class table.
+Word counts stay distributed: texts are coded in chunks, each with its own list of distinct words. The most frequent words' counts, FREQUENT
+of them at most, are broadcast; the other words of each list are joined with the counts. What the driver and a broadcast hold is
+bounded by that number and by the class table.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ KAPPA = 2.0
 BLOCK = 1 << 12
 FLUSH = 2_000_000
 #: A chunk of coded texts has about so many tokens (a longer text is a chunk of its own).
-CHUNK = 200_000
+CHUNK = 1_000_000
+#: At most so many of the most frequent words are broadcast with their counts (16 bytes each), whatever the corpus.
+FREQUENT = 1 << 20
+SHARDS = 16
 END = b"\n"  # no word holds white space
 
 #: A chunk: its distinct words and how often its training texts have each; its texts' ids, whether they are held out, their lengths in tokens,
@@ -73,39 +77,96 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chunked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chunks of ``docs(doc_id, held_out, text binary)``, and the counts of their training words: word, n, and the chunks that have it."""
+    """Chunks of ``docs(doc_id, held_out, text binary)``, and the counts of their training words: word, n."""
     chunks = common.arrow_map(docs, _chunks, CHUNKS_DDL).withColumn("chunk", F.monotonically_increasing_id())
     chunks = common.materialize(chunks, "brown-chunks")  # written before the numbers are used
     words = chunks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.train").alias("n"))
-    return chunks, common.materialize(words.groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("chunks")), "brown-counts")
+    return chunks, common.materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "brown-counts")
+
+
+class Vocabulary:
+    """Counts of the most frequent training words by 64-bit hash, as sorted arrays."""
+
+    def __init__(self, h: np.ndarray, n: np.ndarray):
+        order = np.argsort(h)
+        self.h, self.n = h[order], n[order]
+
+    def counts(self, h: np.ndarray) -> np.ndarray:
+        """Counts, and zero for words that are not in it."""
+        if not len(self.h):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, self.n[at], 0)
+
+
+def _frequent(counts: DataFrame, most: int) -> tuple[int, Vocabulary]:
+    """The least power of two which at most ``most`` words reach, and the counts of those words."""
+    size = {r["p"]: r["n"] for r in counts.where("n > 0").groupBy(F.length(F.bin("n")).alias("p")).agg(F.count("*").alias("n")).collect()}
+    power = max(size, default=0) + 1
+    while power > 1 and sum(n for p, n in size.items() if p >= power - 1) <= most:
+        power -= 1
+    least, h = 1 << (power - 1), F.xxhash64(F.col("word"))
+    parts = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for k in range(SHARDS):  # a shard at a time, so that the driver holds little more than the two arrays
+        part = counts.where(F.col("n") >= least).where(F.pmod(h, F.lit(SHARDS)) == k).select(h.alias("h"), "n").toArrow()
+        parts.append((part.column("h").to_numpy().view(np.uint64), part.column("n").to_numpy()))
+    return least, Vocabulary(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def _rare(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
+    """The words of each chunk that are not among the frequent ones."""
+    for b in batches:
+        for chunk, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            at = np.flatnonzero(held.value.counts(hashes(words)) == 0)
+            yield common.batch(RARE, chunk=np.full(len(at), chunk), at=at.astype(np.int32), word=[words[i] for i in at.tolist()])
+
+
+RARE = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("word", pa.binary())])
 
 
 def encode(chunks: DataFrame, counts: DataFrame, units: int) -> DataFrame:
     """The chunks with the training count and the unit of each of their words.
 
-    A word is joined with its count once for each chunk that has it; the chunks of a frequent word are dealt over several tasks.
+    A word that is not among the frequent ones is joined with its count once for each chunk that has it, which are few for such a word.
     """
-    total = counts.agg(F.coalesce(F.sum("chunks"), F.lit(0))).first()[0]
-    found = common.spread_join(chunks.select("chunk", F.posexplode("words").alias("at", "word")), counts.where("n > 0"), "word", "chunks", int(total))
+    least, vocabulary = _frequent(counts, FREQUENT)
+    held = chunks.sparkSession.sparkContext.broadcast(vocabulary)
+    rare = common.arrow_map(chunks.select("chunk", "words"), lambda it: _rare(it, held), "chunk long, at int, word binary")
+    found = rare.join(counts.where((F.col("n") > 0) & (F.col("n") < least)).select("word", "n"), "word")
     known = found.groupBy("chunk").agg(F.collect_list(F.struct("at", "n")).alias("known"))
-    joined = chunks.join(known, "chunk", "left").select("words", "ids", "held", "sizes", "tokens", F.col("known.at").alias("at"), F.col("known.n").alias("n"))
-    return common.materialize(common.arrow_map(joined, lambda it: _coded(it, units), CODED_DDL), "brown-coded")
+    first = common.arrow_map(chunks.select("chunk", "words", "ids", "held", "sizes", "tokens"), lambda it: _coded(it, units, held), FIRST_DDL)
+    joined = first.join(known, "chunk", "left").select(*CODED.names, F.col("known.at").alias("at"), F.col("known.n").alias("n"))
+    return common.materialize(common.arrow_map(joined, _completed, CODED_DDL), "brown-coded")
 
 
 CODED = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("units", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 CODED_DDL = "ids array<long>, held array<boolean>, sizes array<int>, tokens array<int>, units array<int>, counts array<long>"
 
 
-def _coded(batches: Iterator[pa.RecordBatch], units: int) -> Iterator[pa.RecordBatch]:
-    """Lists of words become lists of their units and training counts (0: unknown)."""
+FIRST = pa.schema([("chunk", pa.int64()), *CODED])
+FIRST_DDL = "chunk long, " + CODED_DDL
+
+
+def _one(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+
+
+def _coded(batches: Iterator[pa.RecordBatch], units: int, held) -> Iterator[pa.RecordBatch]:
+    """Lists of words become lists of their units and training counts, those of words that are not frequent yet zero."""
+    for b in batches:
+        for i in range(len(b)):
+            h = hashes(b.column(1)[i].as_py())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in (0, 2, 3, 4, 5)), _one(unit_of(h, units)), _one(held.value.counts(h))], schema=FIRST)
+
+
+def _completed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Put the counts of the other words in their places."""
     for b in batches:
         for i in range(len(b)):
-            words = b.column(0)[i].as_py()
-            n = np.zeros(len(words), np.int64)
-            if b.column(5)[i].is_valid:
-                n[b.column(5)[i].values.to_numpy()] = b.column(6)[i].values.to_numpy()
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(x)) for x in (unit_of(hashes(words), units), n)]
-            yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in (1, 2, 3, 4)), *lists], schema=CODED)
+            n = b.column(5)[i].values.to_numpy().copy()
+            if b.column(6)[i].is_valid:
+                n[b.column(6)[i].values.to_numpy()] = b.column(7)[i].values.to_numpy()
+            yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in range(5)), _one(n)], schema=CODED)
 
 
 def _flat(b: pa.RecordBatch, train_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
