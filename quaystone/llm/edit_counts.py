@@ -171,13 +171,50 @@ def _lists(found: list, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(x) for x in found]), pa.int32()), pa.array(np.concatenate([np.asarray(x, np.int64) for x in found]), kind))
 
 
+def plant(text: str, counts: Counts) -> tuple[np.ndarray, ...]:
+    """What is stored of a text's tree: lengths and token counts of its pre-tokens, sizes of its leaves, and the sums above them."""
+    spans = counts.encoder.spans(text) if tokens.UNSURE.search(text) else None
+    pieces = [text[a:b] for a, b in spans] if spans else tokens.PRETOKEN.findall(text)
+    lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    found = np.fromiter(map(counts.__getitem__, pieces), np.int64, len(pieces))
+    first = np.arange(0, max(1, len(pieces)), LEAF)
+    width = 1 << (len(first) - 1).bit_length()
+    sums = []
+    for x in (lens, found):
+        level = np.zeros(2 * width, np.int64)
+        if len(x):
+            level[width : width + len(first)] = np.add.reduceat(x, first)
+        at = width
+        while at > 1:
+            level[at // 2 : at] = level[at : 2 * at : 2] + level[at + 1 : 2 * at : 2]
+            at //= 2
+        sums.append(level)
+    return lens, found, np.diff(np.append(first, len(pieces))), *sums
+
+
+class Counts(dict):
+    """Token counts of pre-tokens, kept as the encoder keeps their ids."""
+
+    def __init__(self, encoder: tokens.Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.encoder.encode(piece)) // 4
+        if len(piece) <= tokens.LONGEST:
+            if len(self) >= tokens.CACHE:
+                self.clear()
+            self[piece] = n
+        return n
+
+
 def _plant(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    enc = tokens.encoder(path)
+    counts = Counts(tokens.encoder(path))
     for b in batches:
         for at in range(0, len(b), 256):
             part = b.slice(at, 256)
-            dumped = [PieceTree.of(t, enc).dump() for t in part.column(2).to_pylist()]
-            lists = [_lists([d[k] for d in dumped], f[1].value_type) for k, f in enumerate(TREE) if k]
+            planted = [plant(t, counts) for t in part.column(2).to_pylist()]
+            lists = [_lists([d[k - 1] for d in planted], f[1].value_type) for k, f in enumerate(TREE) if k]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), *lists], schema=TREES)
 
 
@@ -187,10 +224,14 @@ def _edit(batches: Iterator[pa.RecordBatch], path: str, trees_too: bool) -> Iter
     for b in batches:
         for at in range(0, len(b), 256):
             out, dumped = [], []
-            for i in range(at, min(at + 256, len(b))):
-                row, doc, text = (b.column(k)[i].as_py() for k in range(3))
-                tree = PieceTree.load(enc, text, *(b.column(k)[i].values.to_numpy() for k in range(3, 8)))
-                edits = [(e["start"] or 0, e["end"] or 0, e["text"] or "") for e in b.column(8)[i].as_py() or [] if e is not None]
+            part = b.slice(at, 256)
+            arrays = []
+            for k in range(3, 8):
+                flat, ends = part.column(k).values.to_numpy(), part.column(k).offsets.to_numpy().tolist()
+                arrays.append([flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)])
+            for row, doc, text, given, *stored in zip(*(part.column(k).to_pylist() for k in (0, 1, 2, 8)), *arrays, strict=True):
+                tree = PieceTree.load(enc, text, *stored)
+                edits = [(e["start"] or 0, e["end"] or 0, e["text"] or "") for e in given or [] if e is not None]
                 before, after = tree.count, text
                 for s, e, t in edits:
                     tree.edit(s, e, t)

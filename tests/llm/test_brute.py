@@ -230,7 +230,7 @@ def test_patterns_hold_every_piece():
 # --- 4 -----------------------------------------------------------------------------------------------------------------------------
 
 
-def test_class_model(docs, odd, empty):
+def test_class_model(docs, odd, empty, monkeypatch):
     got = brown.score(docs, units=1 << 16).toPandas().set_index("doc_id")
     tok = lambda t: (t or "").encode().lower().split() + [brown.END]
     rows = texts(docs)
@@ -243,6 +243,10 @@ def test_class_model(docs, odd, empty):
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok(t)), rel_tol=1e-9)
     out = got[got.held_out]
     assert out.score.sum() > 0.9 * out.base_score.sum() and (out.score > out.base_score).mean() > 0.8
+    monkeypatch.setattr(brown, "FREQUENT", 40)
+    monkeypatch.setattr(brown, "CHUNK", 900)
+    few = brown.fit(docs, 1 << 16, brown.CLASSES, brown.ROUNDS, brown.SWEEPS)[0].toPandas().set_index("doc_id").loc[got.index]
+    assert np.allclose(few.score, got.score, rtol=1e-9) and (few.n_known == got.n_known).all()
     some = brown.score(odd, units=1 << 12, rounds=1, sweeps=1).toPandas()
     assert len(some) == odd.count() and np.isfinite(some.score).all()
     assert brown.score(empty, units=1 << 12, rounds=1, sweeps=1).count() == 0
