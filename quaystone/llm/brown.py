@@ -40,10 +40,19 @@ FREQUENT = 1 << 20
 SHARDS = 16
 END = b"\n"  # no word holds white space
 
-#: A chunk: its distinct words and how often its training texts have each; its texts' ids, whether they are held out, their lengths in tokens,
-#: and their tokens as numbers of those words.
-CHUNKS = pa.schema([("chunk", pa.int64()), ("words", pa.list_(pa.binary())), ("train", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
-CHUNKS_DDL = "chunk long, words array<binary>, train array<long>, ids array<long>, held array<boolean>, sizes array<int>, tokens array<int>"
+#: A chunk: its distinct words (with spaces between) and how often its training texts have each; its texts' ids, whether they are held out,
+#: their lengths in tokens, and their tokens as numbers of those words. Long lists are bytes, which the JVM passes on as they are.
+TEXTS = [("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary())]
+TEXTS_DDL = "ids array<long>, held array<boolean>, sizes array<int>, tokens binary"
+CHUNKS = pa.schema([("chunk", pa.int64()), ("words", pa.binary()), ("train", pa.binary()), *TEXTS])
+CHUNKS_DDL = f"chunk long, words binary, train binary, {TEXTS_DDL}"
+#: A coded chunk has the units and training counts of its words instead.
+CODED = pa.schema([*TEXTS, ("units", pa.binary()), ("counts", pa.binary())])
+CODED_DDL = f"{TEXTS_DDL}, units binary, counts binary"
+FIRST = pa.schema([("chunk", pa.int64()), *CODED])
+FIRST_DDL = f"chunk long, {CODED_DDL}"
+RARE = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("word", pa.binary())])
+COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 PAIRS = pa.schema([("block", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 PROFILE = pa.schema([("unit", pa.int32()), ("profile", pa.list_(pa.int64()))])
 TOTALS = pa.schema([("cell", pa.int32()), ("n", pa.float64())])
@@ -73,17 +82,25 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at += 1
             some = [p for p, h in zip(parts, out[first:at], strict=True) if not h]
             train = np.bincount(np.concatenate(some), minlength=len(number)) if some else np.zeros(len(number), np.int64)
-            yield common.batch(CHUNKS, chunk=[0], words=[list(number)], train=[train], ids=[ids[first:at]], held=[out[first:at]], sizes=[[len(p) for p in parts]], tokens=[np.concatenate(parts)])
+            yield common.batch(CHUNKS, chunk=[0], words=[b" ".join(number)], train=[train.astype(np.int64).tobytes()], ids=[ids[first:at]], held=[out[first:at]], sizes=[[len(p) for p in parts]], tokens=[np.concatenate(parts).tobytes()])
 
 
 def chunked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks of ``docs(doc_id, held_out, text binary)``, and the counts of their training words: word, n."""
     chunks = common.arrow_map(docs, _chunks, CHUNKS_DDL).withColumn("chunk", F.monotonically_increasing_id())
     chunks = common.materialize(chunks, "brown-chunks")  # written before the numbers are used
-    words = chunks.select(F.explode(F.arrays_zip("words", "train")).alias("w")).select(F.col("w.words").alias("word"), F.col("w.train").alias("n"))
+    words = common.arrow_map(chunks.select("words", "train"), _words, "word binary, n long")
     return chunks, common.materialize(words.groupBy("word").agg(F.sum("n").alias("n")), "brown-counts")
 
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of training texts and their counts in a chunk."""
+    for b in batches:
+        for words, train in zip(b.column(0), b.column(1), strict=True):
+            n = np.frombuffer(train.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words.as_py().split(b" "), pa.binary()), pa.array(n)], schema=COUNTS).filter(pa.array(n > 0))
+
+
 class Vocabulary:
     """Counts of the most frequent training words by 64-bit hash, as sorted arrays."""
 
@@ -116,14 +133,12 @@ def _frequent(counts: DataFrame, most: int) -> tuple[int, Vocabulary]:
 def _rare(batches: Iterator[pa.RecordBatch], held) -> Iterator[pa.RecordBatch]:
     """The words of each chunk that are not among the frequent ones."""
     for b in batches:
-        for chunk, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for chunk, joined in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            words = joined.split(b" ")
             at = np.flatnonzero(held.value.counts(hashes(words)) == 0)
             yield common.batch(RARE, chunk=np.full(len(at), chunk), at=at.astype(np.int32), word=[words[i] for i in at.tolist()])
 
 
-RARE = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("word", pa.binary())])
-
-
 def encode(chunks: DataFrame, counts: DataFrame, units: int) -> DataFrame:
     """The chunks with the training count and the unit of each of their words.
 
@@ -139,45 +154,37 @@ def encode(chunks: DataFrame, counts: DataFrame, units: int) -> DataFrame:
     return common.materialize(common.arrow_map(joined, _completed, CODED_DDL), "brown-coded")
 
 
-CODED = pa.schema([("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("units", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-CODED_DDL = "ids array<long>, held array<boolean>, sizes array<int>, tokens array<int>, units array<int>, counts array<long>"
-
-
-FIRST = pa.schema([("chunk", pa.int64()), *CODED])
-FIRST_DDL = "chunk long, " + CODED_DDL
-
-
-def _one(x: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
 
 
 def _coded(batches: Iterator[pa.RecordBatch], units: int, held) -> Iterator[pa.RecordBatch]:
-    """Lists of words become lists of their units and training counts, those of words that are not frequent yet zero."""
+    """Words become their units and training counts, those of words that are not frequent yet zero."""
     for b in batches:
         for i in range(len(b)):
-            h = hashes(b.column(1)[i].as_py())
-            yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in (0, 2, 3, 4, 5)), _one(unit_of(h, units)), _one(held.value.counts(h))], schema=FIRST)
+            h = hashes(b.column(1)[i].as_py().split(b" "))
+            added = [pa.array([x.tobytes()], pa.binary()) for x in (unit_of(h, units), held.value.counts(h).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in (0, 2, 3, 4, 5)), *added], schema=FIRST)
 
 
 def _completed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Put the counts of the other words in their places."""
     for b in batches:
         for i in range(len(b)):
-            n = b.column(5)[i].values.to_numpy().copy()
+            n = np.frombuffer(b.column(5)[i].as_buffer(), np.int64).copy()
             if b.column(6)[i].is_valid:
                 n[b.column(6)[i].values.to_numpy()] = b.column(7)[i].values.to_numpy()
-            yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in range(5)), _one(n)], schema=CODED)
+            yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, 1) for k in range(5)), pa.array([n.tobytes()], pa.binary())], schema=CODED)
 
 
 def _flat(b: pa.RecordBatch, train_only: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]]:
     """Of each chunk: units and counts of its tokens, where each text begins, and the texts' ids and whether they are held out."""
     for i in range(len(b)):
-        ids, held, sizes, tokens, units, counts = (b.column(k)[i].values for k in range(6))
-        held, sizes, tokens = held.to_numpy(zero_copy_only=False).astype(bool), sizes.to_numpy().astype(np.int64), tokens.to_numpy()
+        ids, held, sizes = (b.column(k)[i].values for k in range(3))
+        tokens, units, counts = (np.frombuffer(b.column(k)[i].as_buffer(), t) for k, t in ((3, np.int32), (4, np.int32), (5, np.int64)))
+        held, sizes = held.to_numpy(zero_copy_only=False).astype(bool), sizes.to_numpy().astype(np.int64)
         if train_only:
             tokens, sizes = tokens[np.repeat(~held, sizes)], sizes[~held]
         if len(sizes):
-            yield units.to_numpy()[tokens], counts.to_numpy()[tokens], np.cumsum(sizes) - sizes, ids, held
+            yield units[tokens], counts[tokens], np.cumsum(sizes) - sizes, ids, held
 
 
 def _profiles(batches: Iterator[pa.RecordBatch], held, classes: int) -> Iterator[pa.RecordBatch]:
