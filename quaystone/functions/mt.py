@@ -37,7 +37,7 @@ def tags(text: Column) -> Column:
 
     def one(x: Column) -> Column:
         lines = F.split(F.substring_index(x, "\u0002", -1), "\n")
-        rest = F.filter(F.transform(F.slice(lines, 2, 1000), lambda y: F.trim(y)), lambda y: y != "")
+        rest = F.filter(F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda y: F.trim(y)), lambda y: y != "")
         return F.struct(F.substring_index(x, "\u0002", 1).alias("tag"), F.array_join(F.concat(F.array(F.trim(F.get(lines, F.lit(0)))), rest), "\n").alias("value"))
 
     return F.transform(parts, one)

@@ -95,6 +95,19 @@ def extract(docs: DataFrame, rules: str = "rules_v2", text: str = "text", prefix
     return out.drop(*[f"__{k}" for k in held])
 
 
+def extract_each(docs: DataFrame, by: str, text: str = "text", prefix: str = "got_") -> DataFrame:
+    """Add a column for each field ('' if absent) by the rules that the row's column ``by`` names."""
+    held = {name: rules(F.col(text)) for name, rules in EXTRACTORS.items()}
+
+    def one(key: str) -> Column:
+        out = None
+        for name, fields in held.items():
+            out = F.when(F.col(by) == name, fields[key]["value"]) if out is None else out.when(F.col(by) == name, fields[key]["value"])
+        return F.coalesce(out, F.lit(""))
+
+    return docs.withColumns({f"{prefix}{k}": one(k) for k in C.KEYS})
+
+
 def long_form(docs: DataFrame, rules: str = "rules_v2", key: str = "payment_id") -> DataFrame:
     """(key column, field, value, method), one row for each field found."""
     held = EXTRACTORS[rules](F.col("text"))

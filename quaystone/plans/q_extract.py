@@ -37,10 +37,9 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def both(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with both extractors' score, one row for each; the two branches share no work but the scan."""
-    base = docs(spark, d)
-    parts = [S.score(E.extract(base, r)).withColumn("extractor", F.lit(r)) for r in E.EXTRACTORS]
-    return parts[0].unionByName(parts[1])
+    """Every document with both extractors' score, one row for each. A document is made and rendered once, below the rows for the extractors."""
+    base = docs(spark, d).withColumn("extractor", F.explode(F.array(*map(F.lit, E.EXTRACTORS))))
+    return S.score(E.extract_each(base, "extractor"))
 
 
 BOTH = f"""{D.docs()},

@@ -48,9 +48,9 @@ def stratified_sample(spark, d):
     return SA.stratified(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", LIMIT)
 
 
-@query("resume_pending", "WITH done AS (SELECT doc_id FROM labels) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM done) ORDER BY doc_id LIMIT 50")
+@query("resume_pending", "WITH done AS (SELECT doc_id FROM labels) SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM done)")
 def resume_pending(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").orderBy("doc_id").limit(50)
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
 @query("resume_done_ids", "SELECT DISTINCT doc_id FROM labels")
@@ -72,9 +72,9 @@ def benchmark_overlap(spark, d):
     return table(spark, d, "documents").select("text").intersect(table(spark, d, "benchmark").select("text")).agg(F.count("*").alias("shared"))
 
 
-@query("key_union", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id FROM labels")
+@query("key_union", "SELECT doc_id FROM documents UNION SELECT doc_id FROM labels")
 def key_union(spark, d):
-    return table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id").union(table(spark, d, "labels").select("doc_id")).distinct()
+    return table(spark, d, "documents").select("doc_id").union(table(spark, d, "labels").select("doc_id")).distinct()
 
 
 @query("key_difference", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")

@@ -14,25 +14,36 @@ from ..functions import text as T
 from ..operators import capture as K
 from ..shipping import ship
 
-PART = pa.schema([("id", pa.int64()), ("part_no", pa.int32()), ("kind", pa.string()), ("filename", pa.string()), ("media_type", pa.string()), ("content", pa.binary())])
+TEXT = pa.struct([("html", pa.bool_()), ("text", pa.string())])
+PART = pa.schema([("id", pa.int64()), ("part_no", pa.int32()), ("kind", pa.string()), ("filename", pa.string()), ("media_type", pa.string()), ("content", pa.binary()), ("texts", pa.list_(TEXT)), ("notes", pa.list_(pa.string()))])
+PART_DDL = "id long, part_no int, kind string, filename string, media_type string, content binary, texts array<struct<html: boolean, text: string>>, notes array<string>"
 
 
-def parts(data: bytes) -> Iterator[tuple[int, str, str, str, bytes]]:
-    """Texts of a mail that are no attachment (0, 'text'), and its attachments (from 1 on)."""
+def parts(data: bytes) -> Iterator[tuple]:
+    """The body (0, 'text') with all its texts in order, then the attachments (from 1 on). What cannot be decoded leaves a note on the body."""
     msg = email.message_from_bytes(data, policy=default)
+    texts, notes, attached = [], [], []
     for p in msg.walk():
-        if p.is_multipart() or "attachment" in str(p.get("Content-Disposition") or "").lower():
+        kind = p.get_content_type()
+        if p.is_multipart() or "attachment" in str(p.get("Content-Disposition") or "").lower() or (msg.is_multipart() and kind not in ("text/plain", "text/html")):
             continue
-        if p.get_content_type() in ("text/plain", "text/html") or p is msg:
-            try:
-                content = p.get_content()
-            except (LookupError, UnicodeDecodeError, KeyError):
-                continue
-            yield 0, "text", "", p.get_content_type(), content.encode() if isinstance(content, str) else bytes(content)
-    for i, p in enumerate(msg.iter_attachments() if msg.is_multipart() else (), 1):
+        try:
+            content = p.get_content()
+        except (LookupError, UnicodeDecodeError):
+            notes.append(f"a {kind} part could not be decoded")
+            continue
+        text = content if isinstance(content, str) else bytes(content).decode("utf-8", "replace")
+        texts.append({"html": kind == "text/html", "text": text.encode("utf-8", "replace").decode()})
+    for p in msg.iter_attachments() if msg.is_multipart() else ():
         payload = p.get_payload(decode=True)
         if isinstance(payload, bytes):
-            yield i, "attachment", p.get_filename() or "attachment", p.get_content_type(), payload
+            attached.append((len(attached) + 1, "attachment", p.get_filename() or "attachment", p.get_content_type(), payload, None, []))
+        else:
+            notes.append("an attachment without bytes was skipped")
+    if attached:
+        notes.append(f"{len(attached)} attachments kept apart from the body")
+    yield 0, "text", "", "message/rfc822", None, texts, notes
+    yield from attached
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,10 +54,16 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(mails: DataFrame) -> DataFrame:
-    """Of ``mails(id long, content binary)``: (id, part_no, kind, filename, media_type, channel, text); HTML is flattened, types are sniffed."""
+    """Of ``mails(id long, content binary)``: (id, part_no, kind, filename, media_type, channel, text, notes).
+
+    One row for the body, its texts joined by new lines (HTML flattened, blank ones left out), and one for each attachment, whose type is
+    sniffed. A null mail has an empty body.
+    """
     ship(mails.sparkSession)
-    rows = mails.select(F.col("id").cast("long"), "content").mapInArrow(_explode, "id long, part_no int, kind string, filename string, media_type string, content binary")
-    media = F.when(F.col("kind") == "text", F.lit("message/rfc822")).otherwise(K.sniff(F.col("content"), F.col("filename"), F.col("media_type")))
-    text = F.decode("content", "UTF-8")
-    shown = F.when(F.col("media_type") == "text/html", T.html_to_text(text)).when(media.rlike("^(text/|message/|application/edi)"), text).otherwise("")
-    return rows.select("id", "part_no", "kind", "filename", media.alias("media_type"), K.channel(media, F.col("kind") == "attachment").alias("channel"), shown.alias("text"))
+    rows = mails.select(F.col("id").cast("long"), "content").mapInArrow(_explode, PART_DDL)
+    media = F.when(F.col("kind") == "text", F.col("media_type")).otherwise(K.sniff(F.col("content"), F.col("filename"), F.col("media_type")))
+    body = F.transform("texts", lambda x: F.when(x["html"], T.html_to_text(x["text"])).otherwise(x["text"]))
+    body = F.array_join(F.filter(body, lambda x: F.trim(F.translate(x, "\t\r\n", "   ")) != ""), "\n")
+    attached = F.when(media.rlike("^(text/|message/|application/edi)"), F.decode("content", "UTF-8")).otherwise("")
+    shown = F.when(F.col("kind") == "text", body).otherwise(attached)
+    return rows.select("id", "part_no", "kind", "filename", media.alias("media_type"), K.channel(media, F.col("kind") == "attachment").alias("channel"), shown.alias("text"), "notes")

@@ -43,6 +43,19 @@ def test_lines_and_directory(spark, tmp_path):
     assert [tuple(r) for r in files.directory_of(spark, str(tmp_path / "dir.json")).collect()] == [("DE893704", "DEUTDEFF")]
 
 
+def test_mail_texts_are_one_body(spark):
+    mail_ = (
+        b"MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=m\n\n--m\nContent-Type: multipart/alternative; boundary=a\n\n"
+        b"--a\nContent-Type: text/plain; charset=utf-8\n\nplain words\n--a\nContent-Type: text/html; charset=utf-8\n\n<p>marked <b>words</b></p>\n"
+        b"--a\nContent-Type: text/plain; charset=no-such-charset\nContent-Transfer-Encoding: base64\n\n/w==\n--a--\n"
+        b"--m\nContent-Type: application/octet-stream\nContent-Disposition: attachment; filename=x.txt\nContent-Transfer-Encoding: base64\n\naGk=\n--m--\n"
+    )
+    got = mail.extract(spark.createDataFrame([(1, bytearray(mail_)), (2, None)], "id long, content binary")).orderBy("id", "part_no").collect()
+    assert [(r["id"], r["part_no"], r["kind"]) for r in got] == [(1, 0, "text"), (1, 1, "attachment"), (2, 0, "text")]
+    assert "plain words" in got[0]["text"] and "marked words" in got[0]["text"] and "<b>" not in got[0]["text"] and got[2]["text"] == ""
+    assert got[0]["notes"][-1] == "1 attachments kept apart from the body" and len(got[0]["notes"]) == 2
+
+
 def test_mail_parts_stay_apart(spark):
     text = b"From: a\nTo: b\nContent-Type: text/html\n\n<p>one</p><script>x</script>two"
     rows = spark.createDataFrame([(1, bytearray(text)), (2, None)], "id long, content binary")
