@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import xml.etree.ElementTree as ET
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C
-
-XS = "{http://www.w3.org/2001/XMLSchema}"
+from .xsd import nodes as xsd_nodes
 
 
 def _simple(name: str, kind: str, required: bool = True) -> str:
@@ -42,34 +39,8 @@ SCHEMA = (
 
 
 def walk(xsd: str) -> list[tuple[str, bool, bool]]:
-    """(path, required, has a currency) of each leaf, depth first. A leaf is required if no element above it is optional or in a choice.
-
-    A type within itself is not entered again.
-    """
-    root = ET.fromstring(xsd)
-    types = {t.get("name"): t for t in root.findall(f"{XS}complexType")}
-    out: list[tuple[str, bool, bool]] = []
-
-    def visit(el: ET.Element, above: str, required: bool, choice: bool, seen: tuple[str, ...]) -> None:
-        name = el.get("name")
-        path = f"{above}/{name}" if above else name
-        need = required and not choice and el.get("minOccurs", "1") != "0"
-        kind = el.get("type")
-        body = types.get(kind) if kind else el.find(f"{XS}complexType")
-        if body is None or kind in seen:
-            out.append((path, need, False))
-            return
-        if body.find(f"{XS}simpleContent") is not None:
-            out.append((path, need, any(a.get("name") == "Ccy" for a in body.iter(f"{XS}attribute"))))
-            return
-        group = body.find(f"{XS}sequence")
-        group = body.find(f"{XS}choice") if group is None else group
-        for child in group.findall(f"{XS}element"):
-            visit(child, path, need, group.tag == f"{XS}choice", (*seen, kind) if kind else seen)
-
-    for el in root.findall(f"{XS}element"):
-        visit(el, "", True, False, ())
-    return out
+    """(path, required, has a currency) of each leaf, depth first. A leaf is required if no element above it is optional or in a choice."""
+    return [(n["path"], n["required"], "Ccy" in n["attribute_names"]) for n in xsd_nodes(xsd) if n["is_leaf"]]
 
 
 LEAVES = walk(SCHEMA)
@@ -118,14 +89,6 @@ def to_slots(values: DataFrame, specs: DataFrame, key: str = "payment_id") -> Da
     return placed.groupBy(key, "path").agg(side(False).alias("value"), side(True).alias("ccy"))
 
 
-def missing(placed: DataFrame, leaves: DataFrame, key: str = "payment_id") -> DataFrame:
-    """(key, path) of required leaves that neither the values nor the system fields give."""
-    system = [*C.SYSTEM_FIELDS, *C.DEFAULT_FIELDS]
-    need = leaves.where("required").where(~F.col("name").isin(*system)).agg(F.sort_array(F.collect_list("path")).alias("need"))
-    have = placed.groupBy(key).agg(F.collect_set("path").alias("have"))
-    return have.crossJoin(F.broadcast(need)).select(key, F.explode(F.array_except("need", "have")).alias("path"))
-
-
 def system_fields(placed: DataFrame, leaves: DataFrame, as_of: str, key: str = "payment_id") -> DataFrame:
     """(key, path, value) of the required system and default leaves that the values do not give; ids come from a hash of the key."""
     system = [*C.SYSTEM_FIELDS, *C.DEFAULT_FIELDS]

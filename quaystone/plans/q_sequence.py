@@ -410,19 +410,13 @@ def slots(spark: SparkSession, d: str) -> DataFrame:
     return pay(spark, d).select("payment_id", F.explode(made).alias("c")).select("payment_id", "c.*")
 
 
-@query("to_slots")
+@query("to_slots", f"""WITH {D.payments()}, {SLOTS}, sp AS ({SQL["field_specs"]}), j AS (SELECT payment_id, c.value AS v, path, is_attribute FROM sl JOIN sp ON c.key = field_key)
+ SELECT payment_id, path, max(v) FILTER (NOT is_attribute) AS value, max(v) FILTER (is_attribute) AS ccy FROM j GROUP BY payment_id, path""")
 def to_slots(spark, d):
     """Values at their paths in the message; keys that the schema does not give are dropped."""
     return SC.to_slots(slots(spark, d), SC.field_specs(SC.leaf_paths(spark, SC.SCHEMA)))
 
 
-@query("build_errors")
-def build_errors(spark, d):
-    """Required leaves that a message lacks after the system fields are filled, by message."""
-    placed = SC.to_slots(slots(spark, d), SC.field_specs(SC.leaf_paths(spark, SC.SCHEMA)))
-    return SC.missing(placed, SC.leaf_paths(spark, SC.SCHEMA))
-
-
 @query("control_sum", "SELECT l_suppkey AS batch, greatest(count(*), 1) AS transactions, printf('%.2f', sum(CAST(round(l_extendedprice, 2) AS DECIMAL(18, 2)))) AS control_sum FROM lineitem GROUP BY l_suppkey")
 def control_sum(spark, d):
     total = F.sum(F.round("l_extendedprice", 2).cast("decimal(18,2)"))

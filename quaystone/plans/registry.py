@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_extract, q_files, q_message, q_more, q_sequence
+from . import q_extract, q_files, q_message, q_more, q_schema, q_sequence
 
-_MODULES = [q_extract, q_message, q_sequence, q_files, q_more]
+_MODULES = [q_extract, q_message, q_sequence, q_files, q_more, q_schema]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
