@@ -87,8 +87,8 @@ def trust(text: Column, threshold: float = 0.99) -> Column:
     return V.let(V.let(F.struct(F.size(ibans).alias("ibans"), good.alias("good"), bad.alias("bad")), bics), scored)
 
 
-def capture(docs: DataFrame, recognised: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
-    """Of (key, channel, text, has_text_layer, structured): path, text, used_ocr, note, after the probe.
+def capture(docs: DataFrame, recognised: DataFrame | None = None, key: str | list[str] = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Of (key, channel, text, has_text_layer, structured): path, text, used_ocr, note, after the probe; columns to ``carry`` come along.
 
     ``recognised(key, ocr_text, ocr_confidence)`` stands for a recogniser's results; where it has none, text stays unverified.
     """
@@ -109,4 +109,5 @@ def capture(docs: DataFrame, recognised: DataFrame | None = None, key: str = "do
         .when(seen, "")
         .otherwise("OCR required but no backend supplied")
     )
-    return rows.select(key, "channel", F.when(rejected, "ocr").otherwise(path).alias("path"), F.when(wants & seen, F.col("ocr_text")).otherwise(F.col("text")).alias("text"), (wants & seen).alias("used_ocr"), note.alias("note"))
+    keys = [key] if isinstance(key, str) else key
+    return rows.select(*keys, *carry, "channel", F.when(rejected, "ocr").otherwise(path).alias("path"), F.when(wants & seen, F.col("ocr_text")).otherwise(F.col("text")).alias("text"), (wants & seen).alias("used_ocr"), note.alias("note"))

@@ -16,6 +16,7 @@ from ..operators import gate as G
 from ..operators import payments as P
 from ..operators import schema as SC
 from ..operators import score as S
+from ..sources import ingest as IN
 from . import duck as D
 from .q_extract import BOTH, ROUTES, SPLIT_KEY, TRUTHS, V2, both, docs, pay, routes
 from .q_message import MT, messages
@@ -177,10 +178,37 @@ def build_message(spark, d):
     return SC.build(placed.unionByName(SC.system_fields(placed, leaves, "2026-01-01T00:00:00Z").withColumn("ccy", F.lit(None).cast("string"))), leaves)
 
 
-@query("ingest")
+INBOUND = """o AS (SELECT o_orderkey AS id, o_orderkey % 6 AS m FROM orders), c AS (SELECT * FROM (VALUES
+ (0, 0, 'message/rfc822', 'email-body', 'text', 'see attached', '2 attachments kept apart from the body'),
+ (0, 1, 'application/edi', 'email-attachment', 'structured', '{1:F01}', 'structured message: parsed, never recognised|parsed as a message; no recognition performed'),
+ (0, 2, 'image/png', 'email-attachment', 'ocr', '', 'raster input: recognition required, no text layer exists|OCR required but no backend supplied'),
+ (1, 0, 'application/edi', 'edi', 'structured', '{4::20:X}', 'structured message: parsed, never recognised|parsed as a message; no recognition performed'),
+ (2, 0, 'application/pdf', 'pdf', 'ocr', '', 'no text layer was supplied for this file|OCR required but no backend supplied'),
+ (3, 0, 'image/png', 'fax', 'ocr', '', 'raster input: recognition required, no text layer exists|OCR required but no backend supplied'),
+ (4, 0, 'text/plain', 'email-body', 'text', 'a plain instruction that is long enough to be taken for text', ''),
+ (5, 0, 'application/octet-stream', 'email-body', 'text', '', 'unrecognised type ''application/octet-stream''; refusing to guess a parser')) t(m, part_no, media_type, channel, path, text, notes))"""
+
+
+def inbound(spark, d):
+    """A file for each order: by the key's remainder of 6 a mail with two attachments, a message, a PDF, an image, a text, or bytes of no type."""
+    m = F.col("id") % 6
+    part = 'Content-Type: application/octet-stream\nContent-Disposition: attachment; filename="%s"\nContent-Transfer-Encoding: base64\n\n%s\n--edge'
+    head = 'From: a@example.com\nTo: b@example.com\nSubject: pay\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="edge"\n\n--edge\nContent-Type: text/plain\n\nsee attached\n--edge\n'
+    letter = head + part % ("pay.edi", "ezE6RjAxfQ==") + "\n" + part % ("scan.png", "iVBORw0KGgo=") + "--\n"
+    bytes_ = F.when(m == 0, F.lit(letter)).when(m == 1, "{4::20:X}").when(m == 2, "%PDF-1.7").when(m == 4, "a plain instruction that is long enough to be taken for text").otherwise("?")
+    content = F.when(m == 3, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(bytes_.cast("binary"))
+    o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("id"))
+    return o.select("id", F.lit(None).cast("string").alias("filename"), F.lit("").alias("mime"), content.alias("content"))
+
+
+@query("ingest", f"WITH {INBOUND} SELECT id, part_no, media_type, channel, path, text, false AS used_ocr, notes FROM o JOIN c USING (m)")
 def ingest(spark, d):
-    """Inbound bytes to captured text: typed, dealt to a channel, routed and probed; the parts of mails are in ``extract_email``."""
-    p = docs(spark, d).select(F.col("payment_id"), F.encode("text", "UTF-8").alias("content"), "text")
-    media = K.sniff(F.col("content"), F.lit(""), F.lit(""))
-    rows = p.select("payment_id", K.channel(media, F.lit(False)).alias("channel"), "text", media.rlike("^(text/|message/|application/edi)").alias("has_text_layer"), (media == "application/edi").alias("structured"))
-    return K.capture(rows, key="payment_id").select("payment_id", "channel", "path", "used_ocr", F.length("text").cast("long").alias("chars"))
+    """Inbound files of every type to captured texts with their notes."""
+    return IN.ingest(inbound(spark, d)).select("id", "part_no", "media_type", "channel", "path", F.trim("text").alias("text"), "used_ocr", F.array_join("notes", "|").alias("notes"))
+
+
+@query("describe_routes", f"""WITH {INBOUND}, l AS (SELECT id, part_no, printf('  %d. %-18s %-11s free', part_no + 1, channel, path) || CASE WHEN notes = '' THEN '' ELSE chr(10) || '       - ' || replace(notes, '|', chr(10) || '       - ') END AS x
+ FROM o JOIN c USING (m)) SELECT id, string_agg(x, chr(10) ORDER BY part_no) AS audit FROM l GROUP BY id""")
+def describe_routes(spark, d):
+    """The audit of every file's routing."""
+    return IN.describe(IN.ingest(inbound(spark, d)))
