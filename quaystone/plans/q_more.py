@@ -163,7 +163,9 @@ def json_schema_for(spark, d):
     return SC.json_schema(SC.field_specs(SC.leaf_paths(spark, SC.SCHEMA)))
 
 
-@query("fill_system_fields")
+@query("fill_system_fields", f"""WITH {D.payments()}, {PATHS_SQL}, n AS (SELECT path, string_split(path, '/')[-1] AS name FROM xp WHERE required), h AS (SELECT payment_id, upper(sha256(CAST(payment_id AS VARCHAR))) AS x FROM p),
+ f AS (SELECT payment_id, path, CASE name WHEN 'MsgId' THEN 'MSG-' || substr(x, 1, 16) WHEN 'PmtInfId' THEN 'PMT-' || substr(x, 17, 12) WHEN 'CreDtTm' THEN '2026-01-01T00:00:00Z' WHEN 'NbOfTxs' THEN '1'
+ WHEN 'PmtMtd' THEN 'TRF' WHEN 'SttlmMtd' THEN 'INDA' WHEN 'BtchBookg' THEN 'false' END AS value FROM h, n) SELECT * FROM f WHERE value IS NOT NULL""")
 def fill_system_fields(spark, d):
     """Generated ids, counts and defaults of each message; ids are hashes of the key, the time is a parameter."""
     leaves = SC.leaf_paths(spark, SC.SCHEMA)
