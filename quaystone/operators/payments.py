@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..functions import validators as V
+from ..sources import files
 
 
 def draw(field: str, of: int, key: str = "payment_id", seed: int = 0) -> Column:
@@ -47,7 +48,7 @@ def payments(orders: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def load_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payments(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+    return payments(files.spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderdate")))
 
 
 def document_lines(level: Column, seed: int = 0) -> Column:

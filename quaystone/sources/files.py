@@ -10,6 +10,16 @@ from ..functions import mt as M
 LABEL = "doc_id string, difficulty string, text string, truth map<string,string>, teacher_raw map<string,string>, teacher_canonical map<string,string>, error string, seconds double"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores where a scan has few splits, for work that costs much more per row than moving it does.
+
+    A file of one row group is one task's work, however many cores there are. A table of at least four splits a core is left as it is, so
+    that what is shuffled is bounded by the cluster, not by the data.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= 4 * cores else rows.repartition(2 * cores)
+
+
 def mt_texts(spark: SparkSession, path: str, least: int = 4) -> DataFrame:
     """(path, fields) of text files that hold an MT103 with at least ``least`` fields."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
