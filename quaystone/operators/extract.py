@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..functions import validators as V
+from ..functions.once import once
 
 #: Fields that a label can give.
 LABELLED = tuple(C.LABELS)
@@ -85,9 +86,15 @@ def rules_v1(text: Column) -> dict[str, Column]:
 EXTRACTORS = {"rules_v1": rules_v1, "rules_v2": rules_v2}
 
 
+@once
+def fields(rules: str, text: str) -> dict[str, Column]:
+    """(value, method) of each field by a rule set, from the column ``text``."""
+    return EXTRACTORS[rules](F.col(text))
+
+
 def extract(docs: DataFrame, rules: str = "rules_v2", text: str = "text", prefix: str = "got_", methods: bool = False) -> DataFrame:
     """Add a column for each field ('' if absent), and if asked for its method (null if absent)."""
-    held = EXTRACTORS[rules](F.col(text))
+    held = fields(rules, text)
     out = docs.withColumns({f"__{k}": x for k, x in held.items()})
     out = out.withColumns({f"{prefix}{k}": F.coalesce(F.col(f"__{k}.value"), F.lit("")) for k in held})
     if methods:
@@ -97,12 +104,12 @@ def extract(docs: DataFrame, rules: str = "rules_v2", text: str = "text", prefix
 
 def extract_each(docs: DataFrame, by: str, text: str = "text", prefix: str = "got_") -> DataFrame:
     """Add a column for each field ('' if absent) by the rules that the row's column ``by`` names."""
-    held = {name: rules(F.col(text)) for name, rules in EXTRACTORS.items()}
+    held = {name: fields(name, text) for name in EXTRACTORS}
 
     def one(key: str) -> Column:
         out = None
-        for name, fields in held.items():
-            out = F.when(F.col(by) == name, fields[key]["value"]) if out is None else out.when(F.col(by) == name, fields[key]["value"])
+        for name, found in held.items():
+            out = F.when(F.col(by) == name, found[key]["value"]) if out is None else out.when(F.col(by) == name, found[key]["value"])
         return F.coalesce(out, F.lit(""))
 
     return docs.withColumns({f"{prefix}{k}": one(k) for k in C.KEYS})
@@ -110,6 +117,6 @@ def extract_each(docs: DataFrame, by: str, text: str = "text", prefix: str = "go
 
 def long_form(docs: DataFrame, rules: str = "rules_v2", key: str = "payment_id") -> DataFrame:
     """(key column, field, value, method), one row for each field found."""
-    held = EXTRACTORS[rules](F.col("text"))
+    held = fields(rules, "text")
     made = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), x.alias("x")) for k, x in held.items()]))
     return docs.select(key, made.alias("c")).select(key, "c.field", "c.x.value", "c.x.method").where("value <> ''")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..functions import validators as V
+from ..functions.once import once
 from ..sources import files
 
 
@@ -23,8 +24,13 @@ def pick(options: tuple[str, ...], field: str, seed: int = 0) -> Column:
 
 def payments(orders: DataFrame, seed: int = 0) -> DataFrame:
     """One payment for each order: amount and date are the order's, all else is drawn. Row-local: no shuffle."""
+    return orders.select(F.col("o_orderkey").alias("payment_id"), "o_totalprice", "o_orderdate").select(*_drawn(seed))
+
+
+@once
+def _drawn(seed: int) -> list[Column]:
+    """The columns of a payment."""
     digits = lambda field: F.lpad(draw(field, 10**8, seed=seed).cast("string"), 8, "0")
-    p = orders.select(F.col("o_orderkey").alias("payment_id"), "o_totalprice", "o_orderdate")
     out = {"payment_id": F.col("payment_id")}
     for side, party in (("Cdtr", C.COMPANIES + C.PERSONS), ("Dbtr", C.COMPANIES)):
         at = draw(f"{side}.country", len(C.COUNTRIES), seed=seed)
@@ -44,15 +50,17 @@ def payments(orders: DataFrame, seed: int = 0) -> DataFrame:
     out["ReqdExctnDt_Dt"] = F.date_format("o_orderdate", "yyyy-MM-dd")
     phrase = pick(C.PHRASES, "phrase", seed)
     out["RmtInf_Ustrd"] = F.replace(phrase, F.lit("{n}"), (draw("phrase.n", 90000, seed=seed) + 10000).cast("string"))
-    return p.select(*[c.alias(n) for n, c in out.items()])
+    return [c.alias(n) for n, c in out.items()]
 
 
 def load_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payments(files.spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice", "o_orderdate")))
 
 
-def document_lines(level: Column, seed: int = 0) -> Column:
-    """The lines of a payment's document at a difficulty, in the order of a hash for each line."""
+@once
+def document_lines(seed: int) -> Column:
+    """The lines of a payment's document at its difficulty, in the order of a hash for each line."""
+    level = F.col("difficulty")
     varied = level != "clean"
     lines = []
     for key in C.LABELS:
@@ -83,7 +91,7 @@ def document_lines(level: Column, seed: int = 0) -> Column:
 
 def render(p: DataFrame, level: Column, seed: int = 0) -> DataFrame:
     """Add difficulty and text to payments; all fields of a payment are stated in its document. Row-local."""
-    return p.withColumn("difficulty", level).withColumn("text", F.array_join(document_lines(F.col("difficulty"), seed), "\n"))
+    return p.withColumn("difficulty", level).withColumn("text", F.array_join(document_lines(seed), "\n"))
 
 
 def level_of(i: Column) -> Column:
