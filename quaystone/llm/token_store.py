@@ -34,7 +34,7 @@ from . import common
 #: About as many bytes of frames are in a shard; a larger document has one of its own.
 SHARD_BYTES = 8 << 20
 #: The dictionary is trained on at most so many documents, none of more bytes of text than that; it has at most so many bytes.
-SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICT_BYTES = 512, 16 << 10, 32 << 10
+SAMPLE_DOCS, SAMPLE_TEXT_BYTES, DICT_BYTES = 512, 16 << 10, 112 << 10
 LEVEL = 3
 MAGIC, TRAILER = b"QSIDS001", "\nQSIDEND"
 HEAD = struct.Struct("<8sIIB32sQQ")
