@@ -43,7 +43,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALISERS = ["NFC", "Replace", "Lowercase"]
 #: Characters on which two Unicode versions or two libraries' classes could differ, and the start of a special token.
 UNSURE = regex.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧]|<\\|")
-#: Most words in a worker's cache, and the longest that is kept.
+#: Most words and pieces in a worker's caches, and the longest that is kept.
 CACHE, LONGEST = 400_000, 64
 
 FRAMES = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("frame", pa.binary())])
@@ -58,40 +58,50 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder(dict):
-    """Maps a word to its ids as serialised bytes; ``encode`` does so for a text.
+class Cache(dict):
+    """What ``make`` gives for a key, kept for at most CACHE keys of at most LONGEST characters."""
 
-    Where the file has the published normalisers and pattern, words of a text are looked up one by one and each new one goes through the
-    tokenizer; a text with an unsure character goes through it whole, and so does every text of a file that is built otherwise.
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[key] = out
+        return out
+
+
+class WordEncoder:
+    """Serialised ids of texts.
+
+    Where the file has the published normalisers and pattern, a text is cut at spaces, which no word crosses; each piece is looked up, a new
+    piece is put together from its words, and a new word goes through the tokenizer. A text with an unsure character goes through it whole,
+    and so does every text of a file that is built otherwise.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         splits = [p.get("pattern", {}).get("Regex") for p in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         kinds = [n["type"] for n in (made.get("normalizer") or {}).get("normalizers", [])]
-        self.words = regex.compile(WORDS).findall if splits[:1] == [WORDS] and kinds == NORMALISERS and made.get("post_processor") is None else None
+        self.known = splits[:1] == [WORDS] and kinds == NORMALISERS and made.get("post_processor") is None
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        words, find = Cache(self.whole), regex.compile(WORDS).findall
+        self.pieces = Cache(lambda piece: b"".join(map(words.__getitem__, find(piece))))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if self.words is None or UNSURE.search(text):
+        if not self.known or UNSURE.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, self.words(text.lower())))
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.whole(word)
-        if len(word) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = out
-        return out
+        return b"".join(map(self.pieces.__getitem__, text.lower().split()))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
