@@ -106,23 +106,6 @@ def system_fields(placed: DataFrame, leaves: DataFrame, as_of: str, key: str = "
     return want.select(key, "path", value.alias("value")).where("value is not null")
 
 
-def build(placed: DataFrame, leaves: DataFrame, key: str = "payment_id") -> DataFrame:
-    """(key, xml): the values of ``placed(key, path, value, ccy)`` as elements in schema order, each under its own path; text is escaped."""
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    steps = F.split("path", "/")
-    opened = F.array_join(F.transform(F.slice(steps, F.lit(1), F.size(steps) - 1), lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")
-    closed = F.array_join(F.transform(F.reverse(F.slice(steps, F.lit(1), F.size(steps) - 1)), lambda x: F.concat(F.lit("</"), x, F.lit(">"))), "")
-    ccy = F.when(F.col("ccy").isNotNull(), F.concat(F.lit(' Ccy="'), F.col("ccy"), F.lit('"'))).otherwise("")
-    leaf = F.concat(F.lit("<"), F.col("name"), ccy, F.lit(">"), esc(F.coalesce("value", F.lit(""))), F.lit("</"), F.col("name"), F.lit(">"))
-    rows = placed.join(F.broadcast(leaves.select("path", "name", "ord")), "path").select(key, F.struct("ord", F.concat(opened, leaf, closed).alias("x")).alias("x"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda e: e["x"]), "")
-    # neighbours share their opening elements: what closes and opens again at once is one element
-    xml = joined
-    for _ in range(6):
-        xml = F.regexp_replace(xml, r"</([A-Za-z]+)><\1>", "")
-    return rows.groupBy(key).agg(xml.alias("xml"))
-
-
 def json_schema(specs: DataFrame) -> DataFrame:
     """One row: the JSON Schema of the extraction targets."""
     entry = F.struct(F.lit("string").alias("type"), F.when(F.col("is_attribute"), F.concat("path", F.lit("/Ccy"))).otherwise(F.col("path")).alias("description"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import content as CM
 from ..operators import xsd as X
+from ..sources.files import spread
 from .q_sequence import table
 
 QUERIES: dict = {}
@@ -77,27 +79,76 @@ def required_paths(spark, d):
 
 
 def order_rows(spark, d):
-    """(order, path, value): a message for each order; by the key's remainder of 8, one kind of fault is planted, none at 0."""
-    m, i = F.col("o_orderkey") % 8, "Doc/Ins/"
+    """(order, path, value): a message for each order; by the key's remainder of 16, one kind of fault is planted, none at 0, 10 and from 11 on."""
+    m, i = F.col("o_orderkey") % 16, "Doc/Ins/"
     put = lambda path, value, when=F.lit(True): F.struct(F.lit(i + path).alias("path"), F.when(when, value).alias("value"))
     price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
     cells = [
-        put("Ref", F.concat(F.lit("OR"), F.col("o_orderkey").cast("string")), m != 1), put("Mtd", F.when(m == 3, "ZZZ").otherwise("TRF")),
+        put("Ref", F.concat(F.when(m == 8, "or").otherwise("OR"), F.col("o_orderkey").cast("string")), m != 1), put("Mtd", F.when(m == 3, "ZZZ").otherwise("TRF")),
         put("When/Dt", F.lit("2026-01-02"), m != 5), put("When/Tm", F.lit("10:00"), m == 2), put("Pty/Nm", F.lit("A"), m != 7), put("Agt/Ctry", F.lit("FR"), m == 6),
+        put("Tel", F.lit("1"), m.isin(9, 10)), put("Mail", F.lit("a@b"), m == 9),
         put("Note", F.lit("a")), put("Note", F.lit("b")), put("Note", F.lit("c"), m == 4), put("Line[1]/Amt", price), put("Line[2]/Amt", price, m != 1),
         put("Line[2]/Txt", F.lit("t")), put("Bogus", F.lit("x"), m == 3), put("Pty", F.lit("x"), m == 5),
     ]
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("payment_id"), F.explode(F.array(*cells)).alias("c")).select("payment_id", "c.*")
+    return spread(table(spark, d, "orders")).select(F.col("o_orderkey").alias("payment_id"), F.explode(F.array(*cells)).alias("c")).select("payment_id", "c.*")
 
 
-@query("build_errors", """WITH f AS (SELECT * FROM (VALUES (1, 'missing', 'Doc/Ins/Ref'), (1, 'missing', 'Doc/Ins/Line[2]/Amt'), (2, 'branches', 'Doc/Ins/When'), (3, 'code', 'Doc/Ins/Mtd'),
- (3, 'undeclared', 'Doc/Ins/Bogus'), (4, 'repeats', 'Doc/Ins/Note'), (5, 'choice', 'Doc/Ins/When'), (5, 'shape', 'Doc/Ins/Pty'), (6, 'missing', 'Doc/Ins/Agt/Nm'), (7, 'missing', 'Doc/Ins/Pty/Nm')) t(m, kind, path))
- SELECT o_orderkey AS payment_id, kind, path FROM orders JOIN f ON o_orderkey % 8 = m""")
+FAULTS = """f AS (SELECT * FROM (VALUES (1, 'missing', 'Doc/Ins/Ref'), (1, 'missing', 'Doc/Ins/Line[2]/Amt'), (2, 'branches', 'Doc/Ins/When'), (3, 'code', 'Doc/Ins/Mtd'),
+ (3, 'undeclared', 'Doc/Ins/Bogus'), (4, 'repeats', 'Doc/Ins/Note'), (5, 'choice', 'Doc/Ins/When'), (5, 'shape', 'Doc/Ins/Pty'), (6, 'missing', 'Doc/Ins/Agt/Nm'), (7, 'missing', 'Doc/Ins/Pty/Nm'),
+ (8, 'pattern', 'Doc/Ins/Ref'), (9, 'branches', 'Doc/Ins/(Tel|Mail)')) t(m, kind, path))"""
+
+
+@query("build_errors", f"WITH {FAULTS} SELECT o_orderkey AS payment_id, kind, path FROM orders JOIN f ON o_orderkey % 16 = m")
 def build_errors(spark, d):
     """Every fault of messages in which each kind is planted."""
     return X.faults(order_rows(spark, d), ORDER)
 
 
+@query("build_order_message", f"""WITH {FAULTS}, e AS (SELECT m, list(kind || ' ' || path ORDER BY kind || ' ' || path) AS errors FROM f GROUP BY m),
+ o AS (SELECT o_orderkey AS payment_id, o_orderkey % 16 AS m, CAST(CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) AS VARCHAR) AS price FROM orders)
+ SELECT payment_id, '<Doc><Ins>' || CASE m WHEN 1 THEN '' WHEN 8 THEN '<Ref>or' || payment_id || '</Ref>' ELSE '<Ref>OR' || payment_id || '</Ref>' END || CASE m WHEN 3 THEN '<Mtd>ZZZ</Mtd>' ELSE '<Mtd>TRF</Mtd>' END
+ || CASE m WHEN 5 THEN '' ELSE '<When><Dt>2026-01-02</Dt></When>' END || CASE m WHEN 7 THEN '' ELSE '<Pty><Nm>A</Nm></Pty>' END || CASE m WHEN 6 THEN '<Agt><Ctry>FR</Ctry></Agt>' ELSE '' END
+ || CASE WHEN m IN (9, 10) THEN '<Tel>1</Tel>' ELSE '' END || '<Note>a</Note><Note>b</Note>' || CASE m WHEN 4 THEN '<Note>c</Note>' ELSE '' END || '<Line><Amt Ccy="EUR">' || price || '</Amt></Line><Line>'
+ || CASE m WHEN 1 THEN '' ELSE '<Amt Ccy="EUR">' || price || '</Amt>' END || '<Txt>t</Txt></Line></Ins></Doc>' AS xml, errors IS NULL AS ok, coalesce(array_to_string(errors, ', '), '') AS errors FROM o LEFT JOIN e USING (m)""")
+def build_order_message(spark, d):
+    """Messages written in the schema's order, repeats by their counters and one branch of each choice, with what is wrong with them."""
+    rows = order_rows(spark, d).withColumn("ccy", F.when(F.col("path").endswith("/Amt"), "EUR"))
+    return CM.build(rows, ORDER).withColumn("errors", F.array_join("errors", ", "))
+
+
+def placed_rows(spark, d):
+    """(order, path, value, ccy, ord): a message in document order for each order; from 1 to 7, the key's remainder of 16 plants a fault of the content model."""
+    m = F.col("o_orderkey") % 16
+    price = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    line = F.transform(F.sequence(F.lit(1), F.lit(1) + F.col("o_orderkey").cast("int") % 5), lambda n: F.struct(F.concat(F.lit("Doc/Ins/Line["), n, F.lit("]/Amt")).alias("path"), price.alias("value")))
+    put = lambda path, value, when=F.lit(True): F.struct(F.lit(f"Doc/Ins/{path}").alias("path"), F.when(when, value).alias("value"))
+    cells = F.array(
+        put("Ref", F.concat(F.lit("OR"), F.col("o_orderkey").cast("string"))), put("Mtd", F.lit("TRF")), put("When/Dt", F.lit("d")), put("When/Tm", F.lit("t"), m == 5), put("Note", F.lit("a"), m == 1),
+        put("Pty/Nm", F.lit("A"), m != 7), put("Pty/Ctry", F.lit("FR"), m == 7), put("Tel", F.lit("1"), m.isin(2, 6)), put("Agt/Nm", F.lit("B"), m == 6), put("Mail", F.lit("a@b"), (m == 2) | (m > 8)),
+        put("Note[1]", F.lit("a"), m.isin(3, 9)), put("Note[2]", F.lit("b"), m.isin(3, 9)), put("Note[3]", F.lit("c"), m == 3),
+    )
+    rows = F.concat(cells, F.when(m == 4, F.array().cast("array<struct<path: string, value: string>>")).otherwise(line))
+    out = spread(table(spark, d, "orders")).select(F.col("o_orderkey").alias("payment_id"), F.posexplode(rows).alias("ord", "c")).select("payment_id", "ord", "c.*")
+    return out.withColumn("ccy", F.when(F.col("path").endswith("/Amt"), "EUR"))
+
+
+@query("content_faults", """WITH f AS (SELECT * FROM (VALUES (1, 'unexpected', 'Doc/Ins/Note', 'Pty'), (2, 'unexpected', 'Doc/Ins/Mail', 'Line, Note'), (3, 'unexpected', 'Doc/Ins/Note[3]', 'Line'),
+ (4, 'incomplete', 'Doc/Ins', 'Agt, Line, Mail, Note, Tel'), (5, 'unexpected', 'Doc/Ins/When/Tm', ''), (6, 'unexpected', 'Doc/Ins/Agt', 'Line, Note'), (7, 'unexpected', 'Doc/Ins/Pty/Ctry', 'Nm'),
+ (7, 'incomplete', 'Doc/Ins/Pty', 'Nm')) t(m, kind, path, expected)) SELECT o_orderkey AS payment_id, kind, path, expected FROM orders JOIN f ON o_orderkey % 16 = m""")
+def content_faults(spark, d):
+    """Elements out of order, beyond a choice or a bound, and elements that end too early, by the automata of the schema."""
+    return CM.violations(placed_rows(spark, d), ORDER).withColumn("expected", F.array_join("expected", ", "))
+
+
+@query("content_agrees", "SELECT o_orderkey AS payment_id, o_orderkey % 16 NOT BETWEEN 1 AND 7 AS model_ok, o_orderkey % 16 NOT BETWEEN 1 AND 7 AS xsd_ok FROM orders")
+def content_agrees(spark, d):
+    """The automata's word on a message beside that of the JVM's validator on the same message written as XML."""
+    rows = placed_rows(spark, d)
+    bad = CM.violations(rows, ORDER).select("payment_id").distinct().withColumn("model_ok", F.lit(False))
+    seen = X.validate(CM.render(rows), ORDER).drop("xml").join(bad, "payment_id", "left")
+    return seen.select("payment_id", F.coalesce("model_ok", F.lit(True)).alias("model_ok"), "xsd_ok")
+
+
 @query("xsd_validate", "SELECT o_orderkey AS payment_id, o_orderkey % 8 = 0 AS xsd_ok FROM orders")
 def xsd_validate(spark, d):
     """The JVM validator's word on messages in which each kind of fault but undeclared ones is planted; at 0 none, and at 7 the text is cut."""
