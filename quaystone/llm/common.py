@@ -137,6 +137,16 @@ def with_row(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.withColumn("__r", F.col(key).cast("long"))
 
 
+def sample_by_hash(df: DataFrame, n: int, by: list[str], total: int) -> DataFrame:
+    """The ``n`` rows of ``df``, of ``total`` rows, with the smallest hashes of the columns ``by``, ties by the columns themselves.
+
+    Only rows under a hash that leaves about twice as many are ordered, so that tasks hand on few rows, however many there are.
+    """
+    h = F.xxhash64(*by)
+    drawn = df if total <= 4 * n else df.where(F.pmod(h, F.lit(1 << 40)) < int((1 << 40) * 2 * n / total))
+    return drawn.orderBy(F.pmod(h, F.lit(1 << 40)), *by).limit(n)
+
+
 def hash_prefix(h: Column, bits: int) -> Column:
     """The first ``bits`` bits of a 60-bit hash, as a number."""
     return F.shiftrightunsigned(h, 60 - bits)

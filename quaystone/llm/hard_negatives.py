@@ -302,7 +302,7 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = POSITIVES, negativ
     norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x)
     total, square = kept.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(0))).first()
     space = Space(dims, square)
-    drawn = kept.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks()
+    drawn = common.sample_by_hash(kept, SAMPLE, ["vec_id"], total).toArrow().combine_chunks()
     sample = (drawn.column("vec_id").to_numpy(), drawn.column("label").to_numpy(), matrix(drawn.column("v").combine_chunks(), dims)) if len(drawn) else (np.zeros(0, np.int64),) * 2 + (np.zeros((0, dims), np.int64),)
     dealer = Dealer(sample[2], space, total)
     rows = common.arrow_map(kept.select("vec_id", "label", "v"), lambda it: _deal(it, dealer), "cell int, deal int, vec_id long, label long, v binary")

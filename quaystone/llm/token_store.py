@@ -207,7 +207,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = 1, s
     path = path or default_path()
     common.bound_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
-    drawn = rows.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).orderBy(F.xxhash64("doc_id", "tie"), "doc_id", "tie").limit(SAMPLE_DOCS)
+    short = rows.where(F.octet_length("text") <= SAMPLE_TEXT_BYTES)
+    drawn = common.sample_by_hash(short, SAMPLE_DOCS, ["doc_id", "tie"], short.count())
     enc = encoder(path)
     raw = train([enc.encode(r.text) for r in drawn.select("text").collect()])
     sha, width = hashlib.sha256(raw).digest(), enc.kind.itemsize

@@ -138,10 +138,13 @@ def encode(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
     ignored; an empty table gives no rows.
     """
     kept = vectors.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), integers(F.col("embedding")).alias("v"))
-    top = kept.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).select("v").collect()
-    dims = len(top[0].v) if top else 0
-    kept = kept.where(F.size("v") == dims)
-    if top and any(len(r.v) != dims for r in top):
+    ids = [r.vec_id for r in kept.select("vec_id").orderBy(F.col("vec_id").asc_nulls_last()).limit(entries).collect()]
+    low = kept.where(F.col("vec_id") <= ids[-1]) if ids and ids[-1] is not None else kept
+    head = low.orderBy(F.col("vec_id").asc_nulls_last(), "v").first()
+    dims = len(head.v) if head else 0
+    kept, low = kept.where(F.size("v") == dims), low.where(F.size("v") == dims)
+    top = low.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).select("v").collect()
+    if head and len(top) < entries:  # among the smallest were rows of another number of dimensions
         top = kept.orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(entries).select("v").collect()
     first = cut(np.array([r.v for r in top], np.int64).reshape(len(top), dims), parts).transpose(1, 0, 2)
     books = fit(kept, first, dims, rounds) if top else first
