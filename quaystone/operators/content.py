@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import xsd as X
@@ -124,11 +125,9 @@ def violations(rows: DataFrame, xsd: str, key: str = "payment_id") -> DataFrame:
     models = F.broadcast(table(spark, xsd))  # as large as the schema
     leaf = X.facts(spark, xsd).select("path", "leaf")
     given = rows.where("value is not null and path is not null").select(F.col(key).alias("k"), F.col("path").alias("at"), F.coalesce(F.col("ord").cast("long"), F.lit(-1)).alias("ord"))
-    steps = F.split("at", "/")
-    spread = F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("el")
-    each = given.select("k", "ord", spread, "at").groupBy("k", "el").agg(F.min("ord").alias("ord"), F.greatest(F.count_if(F.col("at") == F.col("el")), F.lit(1)).alias("n"))
+    each = X.each_above(given).groupBy("k", "el").agg(F.min("ord").alias("ord"), F.greatest(F.count_if(F.col("at") == F.col("el")), F.lit(1)).alias("n"))
     each = each.withColumn("path", X.plain(F.col("el"))).join(F.broadcast(leaf), "path")
-    each = each.withColumn("above", F.when(F.contains("el", F.lit("/")), F.regexp_replace("el", "/[^/]*$", ""))).withColumn("name", F.substring_index("path", "/", -1))
+    each = each.withColumn("above", X.holder(F.col("el"))).withColumn("name", F.substring_index("path", "/", -1))
     inner = each.where("not leaf").select("k", F.col("el").alias("above"), X.plain(F.col("el")).alias("parent"), F.lit(-1).cast("long").alias("block"), F.array().cast("array<struct<ord: bigint, el: string, name: string>>").alias("run"))
     # equal rows at one path are as many elements
     child = each.where("above is not null").select("k", "above", X.plain(F.col("above")).alias("parent"), F.explode(F.array_repeat(F.struct("ord", "el", "name"), F.col("n").cast("int"))).alias("c"))
@@ -159,21 +158,24 @@ def _written(rows: DataFrame, sort: str, key: str) -> DataFrame:
     """(key, xml) of rows (key, inst, value, ccy, sort): elements open and close where a row's path leaves that of the row before it."""
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     ccy = F.when(F.col("ccy").isNotNull(), F.concat(F.lit(' Ccy="'), F.replace(esc(F.col("ccy")), F.lit('"'), F.lit("&quot;")), F.lit('"'))).otherwise("")
-    made = rows.select(F.col(key).alias("k"), F.struct(F.col(sort).alias("sort"), F.split("inst", "/").alias("steps"), F.col("inst"), ccy.alias("ccy"), esc(F.coalesce("value", F.lit(""))).alias("value")).alias("r"))
+    above = F.split(X.holder(F.col("inst")), "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("above")), lambda n: F.array_join(F.slice("above", F.lit(1), n), "/"))
+    names = F.split(X.plain(F.col("inst")), "/")
+    made = rows.withColumn("above", F.coalesce(above, F.array().cast("array<string>"))).withColumn("prefixes", F.when(F.size("above") > 0, prefixes).otherwise(F.array().cast("array<string>")))
+    made = made.select(F.col(key).alias("k"), F.struct(F.col(sort).alias("sort"), "inst", ccy.alias("ccy"), esc(F.coalesce("value", F.lit(""))).alias("value"), "prefixes", names.alias("names")).alias("r"))
     # a message is one value of the result: its rows meet in any case
     held = made.groupBy("k").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    name = lambda step: F.regexp_replace(step, r"\[\d+\]$", "")
-    inner = lambda r: F.slice(r["steps"], 1, F.size(r["steps"]) - 1)
     # how many elements above two rows are the same
-    shared = lambda a, b: F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))), lambda n: (n <= F.least(F.size(a), F.size(b))) & (F.slice(a, F.lit(1), n) == F.slice(b, F.lit(1), n))))
-    tags = lambda some, mark: F.array_join(F.transform(some, lambda s: F.concat(F.lit(mark), name(s), F.lit(">"))), "")
-    rest = lambda some, n: F.slice(some, n + 1, F.greatest(F.size(some) - n, F.lit(0)))
+    shared = lambda a, b: F.size(F.array_intersect(a["prefixes"], b["prefixes"]))
+    below = lambda r, n: F.slice(r["names"], n + 1, F.greatest(F.size(r["prefixes"]) - n, F.lit(0)))
 
     def piece(r, i):
-        before = F.when(i > 0, inner(F.get("rows", i - 1))).otherwise(F.array().cast("array<string>"))
-        next_ = F.when(i + 1 < F.size("rows"), inner(F.get("rows", i + 1))).otherwise(F.array().cast("array<string>"))
-        mine, leaf = inner(r), name(F.element_at(r["steps"], -1))
-        return F.concat(tags(rest(mine, shared(before, mine)), "<"), F.lit("<"), leaf, r["ccy"], F.lit(">"), r["value"], F.lit("</"), leaf, F.lit(">"), tags(F.reverse(rest(mine, shared(mine, next_))), "</"))
+        before, after = F.get("rows", i - 1), F.get("rows", i + 1)
+        opened, closed = F.when(i > 0, below(r, shared(before, r))).otherwise(below(r, F.lit(0))), F.when(i + 1 < F.size("rows"), below(r, shared(r, after))).otherwise(below(r, F.lit(0)))
+        leaf = F.element_at(r["names"], -1)
+        opening = F.when(F.size(opened) > 0, F.concat(F.lit("<"), F.array_join(opened, "><"), F.lit(">"))).otherwise("")
+        closing = F.when(F.size(closed) > 0, F.concat(F.lit("</"), F.array_join(F.reverse(closed), "></"), F.lit(">"))).otherwise("")
+        return F.concat(opening, F.lit("<"), leaf, r["ccy"], F.lit(">"), r["value"], F.lit("</"), leaf, F.lit(">"), closing)
 
     return held.select(F.col("k").alias(key), F.array_join(F.transform("rows", piece), "").alias("xml"))
 
@@ -197,19 +199,18 @@ def build(rows: DataFrame, xsd: str, key: str = "payment_id") -> DataFrame:
     place = {n["path"]: (n["ord"], n["is_leaf"], None if not n["parent"] else n["parent"] if by["is_choice"] else n["choice"] and f"{n['parent']}/{n['choice'][0]}", n["ord"] if n["parent"] and by["is_choice"] else n["choice"] and n["choice"][1]) for n in every for by in [next((p for p in every if p["path"] == n["parent"]), {"is_choice": False})]}
     nodes = spark.createDataFrame([(p, o, leaf, c, b) for p, (o, leaf, c, b) in place.items()], "path string, o int, leaf boolean, choice string, branch int")
     given = rows.where("value is not null and path is not null").select(F.col(key), F.col("path").alias("inst"), X.plain(F.col("path")).alias("path"), "value", "ccy")
-    steps = F.split("inst", "/")
-    known = given.join(F.broadcast(nodes.select("path", "leaf")), "path").where("leaf").withColumn("row", F.xxhash64("inst", "value", "ccy"))
+    known = given.join(F.broadcast(nodes.select("path", "leaf")), "path").where("leaf")
     # each row with all elements above it: their places in the schema and counters, and the choices they take part in
-    above = known.select(key, "inst", "value", "ccy", "row", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("depth", "el"))
-    above = above.withColumn("path", X.plain(F.col("el"))).join(F.broadcast(nodes.drop("leaf")), "path").withColumn("counter", F.coalesce(F.regexp_extract("el", r"\[(\d+)\]$", 1).try_cast("int"), F.lit(0)))
-    holder = F.when(F.col("choice").isNotNull(), F.concat(F.regexp_replace("el", "/[^/]*$", ""), F.lit("|"), "choice"))
-    above = above.withColumn("holder", holder)
-    taken = above.where("holder is not null").groupBy(key, "holder").agg(F.min("branch").alias("least"))
-    marked = above.join(taken, [key, "holder"], "left").withColumn("dropped", F.coalesce(F.col("branch") > F.col("least"), F.lit(False)))
-    joined = marked.groupBy(key, "inst", "value", "ccy").agg(F.array_sort(F.collect_list(F.struct("depth", "o", "counter"))).alias("sort"), F.bool_or("dropped").alias("dropped"), (F.max("depth") + 1).alias("deep"), F.count("*").alias("all"))
+    above = X.each_above(known.select(key, "inst", "value", "ccy"), "inst").withColumn("path", X.plain(F.col("el"))).join(F.broadcast(nodes.drop("leaf")), "path")
+    counter = F.when(F.endswith("el", F.lit("]")), F.regexp_extract("el", r"\[(\d+)\]$", 1).cast("int")).otherwise(0)
+    above = above.withColumn("counter", counter)
+    holder = F.when(F.col("choice").isNotNull(), F.concat(X.holder(F.col("el")), F.lit("|"), "choice"))
+    # the rows of one choice in one place of a message
+    least = F.min("branch").over(W.partitionBy(key, "holder"))
+    marked = above.withColumn("holder", holder).withColumn("dropped", F.col("holder").isNotNull() & F.coalesce(F.col("branch") > least, F.lit(False)))
+    joined = marked.groupBy(key, "inst", "value", "ccy").agg(F.array_sort(F.collect_list(F.struct("depth", "o", "counter"))).alias("sort"), F.bool_or("dropped").alias("dropped"), F.max("depth").alias("deep"), F.count("*").alias("all"))
     # equal rows were counted together
     kept = joined.where("not dropped").select(key, "inst", "value", "ccy", F.array_distinct("sort").alias("sort"), F.explode(F.sequence(F.lit(1), (F.col("all") / F.col("deep")).cast("int"))).alias("time"))
     xml = _written(kept.drop("time"), "sort", key)
     found = X.faults(rows.select(key, "path", "value"), xsd, key).groupBy(key).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "kind", "path"))).alias("errors"))
-    all_ = given.select(key).distinct().join(xml, key, "left").join(found, key, "left")
-    return all_.select(key, F.coalesce("xml", F.lit("")).alias("xml"), F.col("errors").isNull().alias("ok"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+    return xml.join(found, key, "full").select(key, F.coalesce("xml", F.lit("")).alias("xml"), F.col("errors").isNull().alias("ok"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))

@@ -168,7 +168,7 @@ def code_lists(spark: SparkSession, xsd: str) -> DataFrame:
 
 def plain(path: Column) -> Column:
     """A path without its counters: ``Line[2]/Amt`` is ``Line/Amt``."""
-    return F.regexp_replace(path, r"\[\d+\]", "")
+    return F.when(F.contains(path, F.lit("[")), F.regexp_replace(path, r"\[\d+\]", "")).otherwise(path)
 
 
 def _wanted(all_nodes: list[dict], node: dict) -> list[tuple[list[str], list[tuple[str, str]]]]:
@@ -214,12 +214,20 @@ def facts(spark: SparkSession, xsd: str) -> DataFrame:
     return spark.createDataFrame(rows, f"path string, leaf boolean, most int, choice string, branch int, rules struct<{RULES.replace(' ', ':').replace(',:', ', ')}>")
 
 
+def each_above(rows: DataFrame, path: str = "at") -> DataFrame:
+    """``rows`` with depth and el for each element of a row's path, from the outermost (depth 1) to itself."""
+    return rows.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(F.split(path, "/"))))).withColumn("el", F.expr(f"substring_index({path}, '/', depth)"))
+
+
+def holder(el: Column) -> Column:
+    """The element above, null for an outermost one."""
+    return F.when(F.contains(el, F.lit("/")), F.left(el, F.length(el) - F.length(F.substring_index(el, "/", -1)) - 1))
+
+
 def instances(given: DataFrame) -> DataFrame:
     """(k, el, above, path, n) of every element of a message given as rows ``(k, at)``: the given ones and those above them; n: rows given at it."""
-    steps = F.split("at", "/")
-    each = given.select("k", "at", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))).alias("el"))
-    each = each.groupBy("k", "el").agg(F.count_if(F.col("at") == F.col("el")).alias("n"))
-    return each.withColumn("above", F.when(F.contains("el", F.lit("/")), F.regexp_replace("el", "/[^/]*$", ""))).withColumn("path", plain(F.col("el")))
+    each = each_above(given.select("k", "at")).groupBy("k", "el").agg(F.count_if(F.col("at") == F.col("el")).alias("n"))
+    return each.withColumn("above", holder(F.col("el"))).withColumn("path", plain(F.col("el")))
 
 
 def faults(rows: DataFrame, xsd: str, key: str = "payment_id") -> DataFrame:
