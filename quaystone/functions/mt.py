@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import xml.parsers.expat
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,6 +121,28 @@ MX_PATHS = {
 }
 
 
+def _parses(text: str | None) -> bool:
+    """Whether a text is one well-formed XML document, without a document type, whose entities the JVM would not read either."""
+    if not text:
+        return False
+    parser = xml.parsers.expat.ParserCreate()
+
+    def stop(*_):
+        raise ValueError("document type")
+
+    parser.StartDoctypeDeclHandler = stop
+    try:
+        parser.Parse(text, True)
+    except (xml.parsers.expat.ExpatError, ValueError):
+        return False
+    return True
+
+
+def well_formed(text: Column) -> Column:
+    """Whether a text is a well-formed XML document. XPath stops a query at any other text, and Spark has no function that only asks."""
+    return F.pandas_udf(lambda texts: pd.Series([_parses(t) for t in texts], dtype="boolean"), "boolean")(text)
+
+
 def mx_fields(xml: Column) -> dict[str, Column]:
     """Fields of a credit transfer message in XML, by local names; the first match of each path, '' where absent."""
     out = {}

@@ -21,7 +21,7 @@ from ..operators import xsd as X
 from ..sources import ingest as IN
 from . import duck as D
 from .q_extract import BOTH, ROUTES, SPLIT_KEY, TRUTHS, V2, both, docs, pay, routes
-from .q_message import MT, messages
+from .q_message import MT, message, messages
 from .q_sequence import PATHS_SQL, slots
 from .q_sequence import SQL as SQL_S
 
@@ -151,6 +151,16 @@ def values_from_mt(spark, d):
     return rows.select("payment_id", M.party(M.tag(M.tags(F.col("raw")), "59"))[0].alias("account"))
 
 
+@query("values_from_mx", f"""WITH {D.payments()} SELECT payment_id, CASE WHEN payment_id % 4 = 0 THEN "CdtrAcct_IBAN" ELSE '' END AS account, CASE WHEN payment_id % 4 = 0 THEN "PmtId_EndToEndId" ELSE '' END AS e2e FROM p""")
+def values_from_mx(spark, d):
+    """Texts that are cut short, no XML or null give nothing, and no error."""
+    xml, k = M.mx_render(message(p := pay(spark, d))), F.col("payment_id") % 4
+    rows = p.select("payment_id", F.when(k == 0, xml).when(k == 1, F.left(xml, F.length(xml) - 3)).when(k == 2, "not a message").alias("xml"))
+    rows = rows.withColumn("xml", F.when(M.well_formed(F.col("xml")), F.col("xml")))
+    found = M.mx_fields(F.col("xml"))
+    return rows.select("payment_id", F.coalesce(found["CdtrAcct_IBAN"], F.lit("")).alias("account"), F.coalesce(found["PmtId_EndToEndId"], F.lit("")).alias("e2e"))
+
+
 @query("describe_schema", f"WITH {PATHS_SQL} SELECT count(*) AS leaves, count(*) FILTER (required) AS required, count(*) FILTER (ccy) AS amounts FROM xp")
 def describe_schema(spark, d):
     return SC.leaf_paths(spark, SC.SCHEMA).agg(F.count("*").alias("leaves"), F.count_if("required").alias("required"), F.count_if("ccy").alias("amounts"))

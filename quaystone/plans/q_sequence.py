@@ -188,19 +188,6 @@ def continuation_lines(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w), F.lit(-1).cast("long")).alias("owner"))
 
 
-@query("batch_pad", "WITH r AS (SELECT doc_id, n_chars, (doc_id // 16) AS batch FROM documents) SELECT doc_id, batch, CAST(ceil(max(n_chars) OVER (PARTITION BY batch) / 8.0) * 8 AS BIGINT) AS width FROM r")
-def batch_pad(spark, d):
-    w = W.partitionBy("batch")
-    return table(spark, d, "documents").select("doc_id", "n_chars", F.floor(F.col("doc_id") / 16).alias("batch")).select("doc_id", "batch", (F.ceil(F.max("n_chars").over(w) / 8) * 8).alias("width"))
-
-
-@query("token_accuracy", "SELECT event_type, count(*) AS positions, round(avg(CASE WHEN user_id % 7 = event_id % 7 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM events WHERE event_id % 4 <> 0 GROUP BY event_type")
-def token_accuracy(spark, d):
-    """Share of unmasked positions where two sequences agree; every fourth position is masked."""
-    hit = (F.col("user_id") % 7 == F.col("event_id") % 7).cast("double")
-    return table(spark, d, "events").where("event_id % 4 <> 0").groupBy("event_type").agg(F.count("*").alias("positions"), F.round(F.avg(hit), 6).alias("accuracy"))
-
-
 @query("cosine_gate", """WITH p AS (SELECT a.vec_id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
 SELECT vec_id, round(1 / (1 + exp(-(list_dot_product(CAST(x AS DOUBLE[]), CAST(y AS DOUBLE[])) / (sqrt(list_dot_product(CAST(x AS DOUBLE[]), CAST(x AS DOUBLE[]))) * sqrt(list_dot_product(CAST(y AS DOUBLE[]), CAST(y AS DOUBLE[]))))) / sqrt(2.0::DOUBLE))), 5) AS gate FROM p""")
 def cosine_gate(spark, d):
@@ -301,14 +288,6 @@ def token_usage(spark, d):
     return table(spark, d, "conversations").agg(F.count("*").alias("calls"), F.sum(n).alias("input_tokens"), F.sum(F.when(F.col("role") == "assistant", n).otherwise(0)).alias("output_tokens"))
 
 
-@query("confidence_separation", """WITH x AS (SELECT l.quality AS y, (n_chars % 1000) / 1000.0::DOUBLE AS score FROM documents d JOIN labels l USING (doc_id))
-SELECT round(avg(score) FILTER (y = 1) - avg(score) FILTER (y = 0), 6) AS separation, round(avg(CAST(y AS DOUBLE)), 6) AS base_rate FROM x""")
-def confidence_separation(spark, d):
-    x = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("quality", ((F.col("n_chars") % 1000) / 1000).alias("score"))
-    mean = lambda y: F.avg(F.when(F.col("quality") == y, F.col("score")))
-    return x.agg(F.round(mean(1) - mean(0), 6).alias("separation"), F.round(F.avg("quality"), 6).alias("base_rate"))
-
-
 @query("artifact_match", "WITH a AS (SELECT lang, avg(n_chars) AS m FROM documents GROUP BY lang), b AS (SELECT lang, sum(n_chars) / CAST(count(*) AS DOUBLE) AS m FROM documents GROUP BY lang) SELECT bool_and(abs(a.m - b.m) < 1e-6) AS equal FROM a JOIN b USING (lang)")
 def artifact_match(spark, d):
     x = table(spark, d, "documents").groupBy("lang")

@@ -72,8 +72,8 @@ def test_teacher_replies(spark):
 
 def test_stream_labels_each_document_once(spark, tmp_path):
     source, sink, at = (str(tmp_path / x) for x in ("in", "out", "cp"))
-    write = lambda ids: spark.createDataFrame([(i,) for i in ids], "doc_id string").coalesce(1).write.mode("append").json(source)
-    run = lambda: append.label_stream(spark, source, "doc_id string", lambda d: d.withColumn("n", F.length("doc_id")), sink, at).awaitTermination()
+    write = lambda ids: spark.createDataFrame([(i, "2026-01-01 00:00:00") for i in ids], "doc_id string, ts string").coalesce(1).write.mode("append").json(source)
+    run = lambda: append.label_stream(spark, source, "doc_id string, ts timestamp", lambda d: d.withColumn("n", F.length("doc_id")), sink, at, "ts, 1 day").awaitTermination()
     write(["a", "bb"])
     run()
     write(["bb", "ccc"])
