@@ -194,9 +194,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, most: int = 2) -> DataFrame
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = graph.components(links(nodes.select("fp"), most))
     labelled = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
-    groups = labelled.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
-    table = common.materialize(labelled.select("fp", "root").join(groups, "root").drop("root"), "simhash-groups")
-    return prints.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
+    labelled = common.materialize(labelled, "simhash-labels")
+    groups = labelled.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"), F.count("*").alias("nodes"))
+    # many fingerprints may be in one component, and many rows may have one fingerprint: both joins deal such keys over several tasks
+    table = common.spread_join(labelled.select("fp", "root", "n"), common.materialize(groups, "simhash-components"), "root", "nodes", labelled.count())
+    table = common.materialize(table.drop("root"), "simhash-groups")
+    return common.spread_join(prints, table, "fp", "n", prints.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "component_size")
 
 
 # --- similarity of shingle sets -------------------------------------------------------------------------------------------------------
@@ -208,7 +211,7 @@ GROUPS, SAMPLE = 16, 64
 #: A bucket of equal group fingerprints of up to WHOLE members is compared whole. In a larger one each member is first compared with the
 #: bucket's first. Where that leaves a bucket in several components, all pairs across them are compared in blocks of about BLOCK bytes of
 #: shingle sets: first in the largest such bucket of each text, then in all that still hold several components.
-WHOLE, BLOCK = 16, 4 << 20
+WHOLE, BLOCK = 16, 16 << 20
 
 KEYS = pa.schema([("doc", pa.int64()), ("bucket", pa.int64())])
 SETS = pa.schema([("doc", pa.int64()), ("shingles", pa.binary())])
@@ -332,7 +335,11 @@ def _across(members: DataFrame, roots: DataFrame, sets: DataFrame, least: float)
 
 
 def _cell(cell: pa.Table, least: float) -> pa.Table:
-    """Links that join components within one cell: each row of block i against those of block j, and of i where j is the first major one."""
+    """Links that join components within one cell: each row of block i against those of block j, and of i where j is the first major one.
+
+    Only rows that share one of their rarest shingles (as many as the similarity asks for) are compared, so texts of one template that differ
+    in their own words are not, however many they are.
+    """
     i, j, k = (cell.column(c)[0].as_py() for c in ("i", "j", "k"))
     block, doc, comp = (cell.column(c).to_numpy().copy() for c in ("block", "doc", "root"))
     sets = [np.frombuffer(x, np.uint64) for x in cell.column("shingles").to_pylist()]
@@ -341,10 +348,26 @@ def _cell(cell: pa.Table, least: float) -> pa.Table:
     sets = np.split(flat, np.cumsum(size)[:-1])
     mark = np.zeros(len(known), np.int32)
     target = np.ones(len(doc), bool) if j == k else block == j
+    # of each set in the order of the rarest shingles of the cell first: two sets that similar share one of so many first ones
+    rank = np.empty(len(known), np.int64)
+    rank[np.lexsort((np.arange(len(known)), np.bincount(flat, minlength=len(known))))] = np.arange(len(known))
+    owner = np.repeat(np.arange(len(doc)), size)
+    by = np.lexsort((rank[flat], owner))
+    first = size - np.ceil(least * size - 1e-9).astype(np.int64) + 1
+    head = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(first, size)
+    heads, holders = rank[flat[by]][head], owner[head]
+    starts = np.cumsum(np.bincount(holders, minlength=len(doc))) - np.bincount(holders, minlength=len(doc))
+    listed = np.argsort(heads, kind="stable")
+    listed = listed[target[holders[listed]]]
+    keys, rows_of = heads[listed], holders[listed]
     out = []
     for r in np.flatnonzero(block == i).tolist():
+        own = heads[starts[r] : starts[r] + first[r]]
+        lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        met = [rows_of[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True) if a < b]
+        near = np.unique(np.concatenate(met)) if met else np.zeros(0, np.int64)
         # sets whose sizes are further apart cannot be that similar
-        near = np.flatnonzero(target & (comp != comp[r]) & (size >= least * size[r] - 1) & (size * least <= size[r] + 1))
+        near = near[(comp[near] != comp[r]) & (size[near] >= least * size[r] - 1) & (size[near] * least <= size[r] + 1)]
         if not len(near):
             continue
         mark[sets[r]] = 1

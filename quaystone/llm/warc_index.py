@@ -100,8 +100,9 @@ def write_archives(pages: DataFrame, path: str, records_per_file: int = ARCHIVE_
     """Write ``pages(page_id, url, html)`` as WARC records. Payload: html in UTF-8, null as empty.
 
     Of equal payloads, empty ones too, the rows with the smallest page_id are responses (repeated rows all are) and the others revisit it; a
-    null page_id is larger than any other. Which is which is found on ids and digests alone; only responses' payloads move, compressed,
-    and dealt by (page_id, digest), so that copies do not meet in one task. Other columns are ignored.
+    null page_id is larger than any other. Which is which is found on ids and digests alone. Every page's payload is compressed where it lies;
+    where the table of first pages is too large to broadcast, all compressed members are dealt by (page_id, digest) to meet it, so that
+    copies do not meet in one task. Other columns are ignored.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string").alias("url"), common.text_or_empty("html").cast("binary").alias("payload"))
