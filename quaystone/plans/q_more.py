@@ -206,24 +206,27 @@ def build_message(spark, d):
     return CM.build(rows, SC.SCHEMA).withColumn("errors", F.array_join("errors", ", "))
 
 
-INBOUND = """o AS (SELECT o_orderkey AS id, o_orderkey % 6 AS m FROM orders), c AS (SELECT * FROM (VALUES
+INBOUND = """o AS (SELECT o_orderkey AS id, o_orderkey % 7 AS m FROM orders), c AS (SELECT * FROM (VALUES
  (0, 0, 'message/rfc822', 'email-body', 'text', 'see attached', '2 attachments kept apart from the body'),
  (0, 1, 'application/edi', 'email-attachment', 'structured', '{1:F01}', 'structured message: parsed, never recognised|parsed as a message; no recognition performed'),
  (0, 2, 'image/png', 'email-attachment', 'ocr', '', 'raster input: recognition required, no text layer exists|OCR required but no backend supplied'),
  (1, 0, 'application/edi', 'edi', 'structured', '{4::20:X}', 'structured message: parsed, never recognised|parsed as a message; no recognition performed'),
- (2, 0, 'application/pdf', 'pdf', 'ocr', '', 'no text layer was supplied for this file|OCR required but no backend supplied'),
+ (2, 0, 'application/pdf', 'pdf', 'ocr', '', 'no text layer: this is a scan and needs recognition|no PDF renderer available; text is unavailable, not empty|OCR required but no backend supplied'),
  (3, 0, 'image/png', 'fax', 'ocr', '', 'raster input: recognition required, no text layer exists|OCR required but no backend supplied'),
  (4, 0, 'text/plain', 'email-body', 'text', 'a plain instruction that is long enough to be taken for text', ''),
- (5, 0, 'application/octet-stream', 'email-body', 'text', '', 'unrecognised type ''application/octet-stream''; refusing to guess a parser')) t(m, part_no, media_type, channel, path, text, notes))"""
+ (6, 0, 'application/pdf', 'pdf', 'probe', 'IBAN DE89370400440532013000', 'text layer extracted; nothing rendered|text layer accepted without OCR'),
+(5, 0, 'application/octet-stream', 'email-body', 'text', '', 'unrecognised type ''application/octet-stream''; refusing to guess a parser')) t(m, part_no, media_type, channel, path, text, notes))"""
 
 
 def inbound(spark, d):
-    """A file for each order: by the key's remainder of 6 a mail with two attachments, a message, a PDF, an image, a text, or bytes of no type."""
-    m = F.col("id") % 6
+    """A file for each order: by the key's remainder of 7 a mail with two attachments, a message, a cut PDF, an image, a text, bytes of no type, or a PDF with a text."""
+    m = F.col("id") % 7
+    page = "BT /F1 12 Tf 72 720 Td (IBAN DE893704) Tj (00440532013000) Tj ET"
+    whole = f"%PDF-1.7\n1 0 obj\n<</Type/Catalog/Pages 2 0 R>>\nendobj\n2 0 obj\n<</Type/Pages/Kids[3 0 R]/Count 1>>\nendobj\n3 0 obj\n<</Type/Page/Contents 4 0 R>>\nendobj\n4 0 obj\n<</Length {len(page)}>>\nstream\n{page}\nendstream\nendobj\n"
     part = 'Content-Type: application/octet-stream\nContent-Disposition: attachment; filename="%s"\nContent-Transfer-Encoding: base64\n\n%s\n--edge'
     head = 'From: a@example.com\nTo: b@example.com\nSubject: pay\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="edge"\n\n--edge\nContent-Type: text/plain\n\nsee attached\n--edge\n'
     letter = head + part % ("pay.edi", "ezE6RjAxfQ==") + "\n" + part % ("scan.png", "iVBORw0KGgo=") + "--\n"
-    bytes_ = F.when(m == 0, F.lit(letter)).when(m == 1, "{4::20:X}").when(m == 2, "%PDF-1.7").when(m == 4, "a plain instruction that is long enough to be taken for text").otherwise("?")
+    bytes_ = F.when(m == 0, F.lit(letter)).when(m == 1, "{4::20:X}").when(m == 2, "%PDF-1.7").when(m == 6, F.lit(whole)).when(m == 4, "a plain instruction that is long enough to be taken for text").otherwise("?")
     content = F.when(m == 3, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(bytes_.cast("binary"))
     o = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("id"))
     return o.select("id", F.lit(None).cast("string").alias("filename"), F.lit("").alias("mime"), content.alias("content"))

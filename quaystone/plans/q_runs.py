@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import mt as M
 from ..operators import payments as P
 from ..sources import files as FI
+from ..shipping import ship
 from ..sources import jsonl, shared, teaching
+from ..sources import pdf as PDF
 from ..streaming import append as A
 from . import duck as D
 from .q_message import message
@@ -149,3 +152,38 @@ def scan_jsonl_tolerant(spark, d):
     line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("doc_id"), "text"))
     table(spark, d, "documents").select(F.when(F.col("doc_id") % 4 == 1, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(path)
     return FI.labels_of(spark, path).select("doc_id", "difficulty", F.length("text").cast("long").alias("chars"), "seconds")
+
+
+def _page_of(text: str, kind: int) -> bytes:
+    """A PDF file that shows the lines of a text: plain (0), deflated (1), deflated with a map of its codes (2 and 3), without a text (4), cut short (5)."""
+    lines = text.split("\n")
+    mapped = kind in (2, 3) or kind < 2 and any(ord(c) > 126 for c in text)
+    if mapped:
+        codes = {c: k for k, c in enumerate(sorted(set(text)), 1)}
+        cmap = "1 begincodespacerange <0000> <ffff> endcodespacerange\n" + "".join(f"1 beginbfchar <{k:04x}> <{c.encode('utf-16-be').hex()}> endbfchar\n" for c, k in codes.items())
+        shown = ["<" + "".join(f"{codes[c]:04x}" for c in line) + ">" for line in lines]
+    else:
+        cmap, shown = "", ["(" + line.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").replace("\r", "\\r") + ")" for line in lines]
+    body = ("BT /F1 9 Tf 40 800 Td " + "".join(f"{s} Tj T*\n" for s in shown) + "ET" if kind != 4 else "q /Im0 Do Q").encode("latin-1")
+
+    def stream(n: int, data: bytes, squeeze: bool) -> bytes:
+        data = zlib.compress(data) if squeeze else data
+        return b"%d 0 obj\n<</Length %d%s>>\nstream\n%s\nendstream\nendobj\n" % (n, len(data), b"/Filter/FlateDecode" if squeeze else b"", data)
+
+    font = b"<</Type/Font%s>>" % (b"/ToUnicode 6 0 R" if mapped else b"")
+    out = b"%%PDF-1.5\n1 0 obj\n<</Type/Catalog/Pages 2 0 R>>\nendobj\n2 0 obj\n<</Type/Pages/Kids[3 0 R]/Count 1>>\nendobj\n3 0 obj\n<</Type/Page/Contents 4 0 R/Resources<</Font<</F1 5 0 R>>>>>>\nendobj\n5 0 obj\n%s\nendobj\n" % font
+    out += stream(6, cmap.encode(), True) + stream(4, body, kind != 0)
+    return out if kind != 5 else out[:60]
+
+
+@query("extract_pdf", """WITH x AS (SELECT doc_id, CASE WHEN doc_id % 6 < 4 THEN regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') ELSE '' END AS shown, doc_id % 6 AS kind FROM documents)
+ SELECT doc_id, CASE kind WHEN 5 THEN 'no page' ELSE '' END AS reason, length(shown) AS chars, md5(shown) AS text_md5 FROM x""")
+def extract_pdf(spark, d):
+    """Every document as a PDF file of one of six kinds, and the text that is read from it; blanks do not count."""
+    import pandas as pd
+
+    ship(spark)
+    made = F.pandas_udf(lambda texts, kinds: pd.Series([_page_of(t, k) for t, k in zip(texts, kinds, strict=True)]), "binary")
+    files = table(spark, d, "documents").select("doc_id", made(F.coalesce("text", F.lit("")), (F.col("doc_id") % 6).cast("int")).alias("content"))
+    read = files.select("doc_id", PDF.layer(F.col("content")).alias("p")).withColumn("shown", F.regexp_replace("p.text", r"[\x20\x09-\x0D]", ""))
+    return read.select("doc_id", F.col("p.reason").alias("reason"), F.char_length("shown").cast("long").alias("chars"), F.md5("shown").alias("text_md5"))

@@ -53,11 +53,11 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), PART, strict=True)], schema=PART)
 
 
-def extract(mails: DataFrame) -> DataFrame:
+def extract(mails: DataFrame, keep: bool = False) -> DataFrame:
     """Of ``mails(id long, content binary)``: (id, part_no, kind, filename, media_type, channel, text, notes).
 
     One row for the body, its texts joined by new lines (HTML flattened, blank ones left out), and one for each attachment, whose type is
-    sniffed. A null mail has an empty body.
+    sniffed. A null mail has an empty body. ``keep`` adds content, an attachment's bytes.
     """
     ship(mails.sparkSession)
     rows = mails.select(F.col("id").cast("long"), "content").mapInArrow(_explode, PART_DDL)
@@ -66,4 +66,4 @@ def extract(mails: DataFrame) -> DataFrame:
     body = F.array_join(F.filter(body, lambda x: F.trim(F.translate(x, "\t\r\n", "   ")) != ""), "\n")
     attached = F.when(media.rlike("^(text/|message/|application/edi)"), F.decode("content", "UTF-8")).otherwise("")
     shown = F.when(F.col("kind") == "text", body).otherwise(attached)
-    return rows.select("id", "part_no", "kind", "filename", media.alias("media_type"), K.channel(media, F.col("kind") == "attachment").alias("channel"), shown.alias("text"), "notes")
+    return rows.select("id", "part_no", "kind", "filename", media.alias("media_type"), K.channel(media, F.col("kind") == "attachment").alias("channel"), shown.alias("text"), "notes", *(["content"] if keep else []))
