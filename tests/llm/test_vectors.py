@@ -192,6 +192,11 @@ def test_words_and_whole_texts_give_the_same_ids(spark, sf):
     enc = token_store.encoder(token_store.default_path())
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").where("text is not null").collect()]
     texts += ["a\x1cb", "ΑΣ Σ", "é", "I'LL it's 12", "\xa0x\xad", "ǅ ß ſt", "<|endoftext|>x", " a"]
+    rng = np.random.default_rng(11)
+    letters = list("abcdefghijklmnopqrstuvwxyzéèüßçñ'-.,0123456789")
+    texts += ["".join(rng.choice(letters, rng.integers(1, 16))) for _ in range(5000)]
+    texts += [enc.tokenizer.decode(rng.integers(0, 49406, 3).tolist()) for _ in range(5000)]
+    assert token_store.fast_words(token_store.default_path()) is not None
     assert all(enc.encode(t) == enc.whole(t) for t in texts)
 
 
