@@ -38,13 +38,31 @@ def extract_email(spark, d):
     return MA.extract(mails).select("id", "part_no", "kind", "media_type", "channel", F.length("text").cast("long").alias("chars"))
 
 
-@query("connected_boxes")
+@query("connected_boxes", """WITH RECURSIVE c AS MATERIALIZED (SELECT vec_id AS id, (k - 1) % 8 AS x, (k - 1) // 8 AS y FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS k, embedding FROM embeddings WHERE len(embedding) % 8 = 0) WHERE embedding[k] > 0.05),
+ g(id, x, y, root) AS (SELECT id, x, y, y * 100000 + x FROM c UNION SELECT c.id, c.x, c.y, g.root FROM g JOIN c ON c.id = g.id AND abs(c.x - g.x) + abs(c.y - g.y) = 1 WHERE g.root < c.y * 100000 + c.x),
+ r AS (SELECT id, x, y, min(root) AS root FROM g GROUP BY id, x, y)
+ SELECT id, CAST(min(x) AS INTEGER) AS x0, CAST(min(y) AS INTEGER) AS y0, CAST(max(x) AS INTEGER) AS x1, CAST(max(y) AS INTEGER) AS y1 FROM r GROUP BY id, root""")
 def connected_boxes(spark, d):
-    """Vectors of 64 as 8 x 8 rasters; held against a brute-force version in the tests."""
+    """Vectors of 64 as 8 x 8 rasters."""
     rows = spark.read.parquet(f"{d}/embeddings.parquet").where("size(embedding) % 8 = 0").select(F.col("vec_id").alias("id"), "embedding")
     return OC.regions(rows, 8, 0.05)
 
 
+TILES = """t AS (SELECT vec_id // 16 AS image, vec_id % 4 AS tx, (vec_id % 16) // 4 AS ty, embedding FROM embeddings WHERE len(embedding) = 64),
+ c AS MATERIALIZED (SELECT image, tx * 8 + (k - 1) % 8 AS x, ty * 8 + (k - 1) // 8 AS y FROM (SELECT image, tx, ty, unnest(range(1, 65)) AS k, embedding FROM t) WHERE embedding[k] > 0.05)"""
+
+
+@query("tiled_regions", f"""WITH RECURSIVE {TILES}, g(image, x, y, root) AS (SELECT image, x, y, y * 100000 + x FROM c
+ UNION SELECT c.image, c.x, c.y, g.root FROM g JOIN c ON c.image = g.image AND abs(c.x - g.x) + abs(c.y - g.y) = 1 WHERE g.root < c.y * 100000 + c.x),
+ r AS (SELECT image, x, y, min(root) AS root FROM g GROUP BY image, x, y)
+ SELECT image, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS cells FROM r GROUP BY image, root""")
+def tiled_regions(spark, d):
+    """Vectors of 64 as tiles of 8 x 8, sixteen of them a raster of 32 x 32: regions across the tiles' edges."""
+    v = spark.read.parquet(f"{d}/embeddings.parquet").where("size(embedding) = 64")
+    tiles = v.select(F.floor(F.col("vec_id") / 16).alias("image"), (F.col("vec_id") % 4).alias("tx"), F.floor(F.col("vec_id") % 16 / 4).alias("ty"), F.col("embedding").alias("values"))
+    return OC.tiled_regions(tiles, 8, 0.05)
+
+
 @query("confidence_head")
 def confidence_head(spark, d):
     """A class-weighted fit on vectors; its separation of right from wrong is tested."""
