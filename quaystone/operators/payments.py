@@ -108,7 +108,11 @@ def documents_by_row(p: DataFrame, seed: int = 0) -> DataFrame:
     ranks within slices of the key come after the counts of the slices before."""
     width = 4096
     sliced = p.withColumn("__slice", F.floor(F.col("payment_id") / width))
-    before = sliced.groupBy("__slice").count().withColumn("before", F.sum("count").over(W.orderBy("__slice")) - F.col("count")).drop("count")
+    counts = sliced.groupBy("__slice").count().withColumn("__slices", F.floor(F.col("__slice") / width))
+    # one row for each width * width keys goes through the last window
+    whole = counts.groupBy("__slices").agg(F.sum("count").alias("n")).withColumn("far", F.sum("n").over(W.orderBy("__slices")) - F.col("n")).drop("n")
+    inner = F.sum("count").over(W.partitionBy("__slices").orderBy("__slice")) - F.col("count")
+    before = counts.withColumn("near", inner).join(F.broadcast(whole), "__slices").select("__slice", (F.col("near") + F.col("far")).alias("before"))
     rank = F.row_number().over(W.partitionBy("__slice").orderBy("payment_id")) - 1
     return render(sliced.withColumn("__r", rank).join(before, "__slice").withColumn("ord", F.col("__r") + F.col("before")).drop("__slice", "__r", "before"), level_of(F.col("ord")), seed)
 
@@ -145,7 +149,9 @@ def corrupt(p: DataFrame, column: str = "CdtrAcct_IBAN") -> DataFrame:
     return p.select("payment_id", F.col(column).alias("original"), cases).select("payment_id", "original", "c.*").where("value <> original")
 
 
-def noisy(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """A stand-in for recognised text: in a third of the documents digits 0, in another third the letter S, are misread."""
+def noisy(docs: DataFrame, seed: int = 0, where: Column | None = None) -> DataFrame:
+    """A stand-in for recognised text: in a third of the documents (of those ``where`` holds for) digits 0, in another third the letter S, are misread."""
     kind = draw("noise.kind", 3, seed=seed)
+    if where is not None:
+        kind = F.when(where, kind)
     return docs.withColumn("text", F.when(kind == 0, F.translate("text", "0", "O")).when(kind == 1, F.translate("text", "5S", "S5")).otherwise(F.col("text")))
