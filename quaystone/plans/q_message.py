@@ -326,67 +326,13 @@ def grounded_values(spark, d):
     return docs(spark, d).select("payment_id", V.let(hay, lambda h: F.size(F.filter(needles, lambda x: (x != "") & ~h.contains(x)))).alias("ungrounded"))
 
 
-# --- economics: closed forms over parameters; a few rows at any scale ------------------------------------------------------------------
-
 d8 = lambda x: f"CAST({x} AS DOUBLE)"
-O, X, RC, MC = C.OPERATIONS, C.COSTS, C.RULE_COST, C.MODEL_COST
-STP = f"(SELECT {d8(0.851)} AS stp UNION ALL SELECT {d8(0.642)} UNION ALL SELECT {d8(0.498)} UNION ALL SELECT {d8(0.0)})"
-ECO = {
-    "exception_economics": f"SELECT stp, round({O['messages_per_month']} * (1 - stp), 6) AS exceptions, round({O['messages_per_month']} * (1 - stp) * {d8(O['minutes_per_exception'])} / 60, 6) AS hours, round({O['messages_per_month']} * (1 - stp) * {d8(O['minutes_per_exception'])} / 60 * {d8(O['hourly_cost'])} * 12, 4) AS annual, round({O['messages_per_month']} * (1 - stp) * {d8(O['minutes_per_exception'])} / 60 / {d8(O['hours_per_fte_month'])}, 6) AS fte FROM {STP} s",
-    "stp_point_value": f"SELECT {O['messages_per_month']} * {d8(0.01)} * {d8(O['minutes_per_exception'])} / 60 * {d8(O['hourly_cost'])} AS monthly, {O['messages_per_month']} * {d8(0.01)} * {d8(O['minutes_per_exception'])} / 60 * {d8(O['hourly_cost'])} * 12 AS annual",
-    "break_even_volume": f"SELECT price, CASE WHEN price <= 0 THEN CAST('Infinity' AS DOUBLE) ELSE round({d8(X['build'] + X['maintenance'])} / 12 / price, 4) END AS volume FROM (SELECT {d8(0.05)} AS price UNION ALL SELECT {d8(0)} UNION ALL SELECT {d8(0.01)}) s",
-    "compare_options": f"SELECT round(infra, 4) AS infra_delta, round(stp, 4) AS stp_delta, round(stp / infra, 6) AS ratio, round({d8(X['build'] + X['maintenance'])} / 72000, 6) AS payback_points FROM (SELECT ({O['messages_per_month']} * {d8(X['api_price'])} - ({d8(X['hosting'])} + {d8(X['maintenance'])} / 12)) * 12 AS infra, {O['messages_per_month']} * ({d8(0.85)} - {d8(0.498)}) * 8 / 60 * 45 * 12 AS stp) s",
-    "sensitivity": f"SELECT minutes, hourly, round({O['messages_per_month']} * (1 - {d8(0.498)}) * minutes / 60 * hourly * 12, 4) AS annual FROM (SELECT {d8(2)} AS minutes UNION ALL SELECT {d8(5)} UNION ALL SELECT {d8(8)} UNION ALL SELECT {d8(15)} UNION ALL SELECT {d8(30)}) m CROSS JOIN (SELECT {d8(25)} AS hourly UNION ALL SELECT {d8(35)} UNION ALL SELECT {d8(45)} UNION ALL SELECT {d8(65)} UNION ALL SELECT {d8(90)}) c",
-    "volume_sensitivity": f"SELECT volume, round(volume * 12 * {d8(X['api_price'])}, 4) AS api, {d8(X['maintenance'] + X['build'])} AS local_cost, round(volume * 12 * {d8(X['api_price'])} - {d8(X['maintenance'] + X['build'])}, 4) AS infra_win, round(volume * {d8(0.01)} * 8 / 60 * 45 * 12, 4) AS point FROM (SELECT 10000 AS volume UNION ALL SELECT 50000 UNION ALL SELECT 100000 UNION ALL SELECT 250000 UNION ALL SELECT 1000000) v",
-    "onboarding": f"SELECT {d8(RC['days_per_format'])} AS rule_days, {d8(RC['days_per_format'] * RC['day'])} AS rule_cost, {d8(0)} AS model_days, {d8(0)} AS model_cost",
-    "lr_schedule": f"SELECT step, round(CASE WHEN step < 100 THEN step / {d8(100)} ELSE {d8(0.1)} + {d8(0.9)} * {d8(0.5)} * (1 + cos(pi() * (step - 100) / {d8(900)})) END, 9) AS factor FROM (SELECT CAST(o_orderkey AS BIGINT) AS step FROM orders WHERE o_orderkey <= 1000) s",
-}
-
-
-def _eco(name: str, sql: str) -> None:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        if "FROM orders" in sql:
-            spark.read.parquet(f"{d}/orders.parquet").createOrReplaceTempView("orders")
-        return spark.sql(sql)
-
-    run.__name__ = name
-    query(name, sql)(run)
-
-
-for _name, _sql in ECO.items():
-    _eco(_name, _sql)
-
-ZIPF = "w AS (SELECT c, f, sum(CASE WHEN i <= f THEN 1 / pow(i, c) END) AS total, sum(CASE WHEN i <= least(f, 3) THEN 1 / pow(i, c) END) AS covered FROM (SELECT unnest([0.6::DOUBLE, 1.0::DOUBLE, 1.5::DOUBLE]) AS c) cc, (SELECT unnest(range(1, 501)) AS f) ff, (SELECT CAST(unnest(range(1, 501)) AS DOUBLE) AS i) ii GROUP BY c, f)"
-HUMAN = "(100000 * 12 * (1 - {stp}) * ({v} * 1.5::DOUBLE + (1 - {v}) * 8.0::DOUBLE) / 60 * 45)"
-COMPARE = f"c AS (SELECT c AS concentration, f AS formats, covered / total AS covered_share, f * 1200 + {HUMAN.format(stp='covered / total', v='0::DOUBLE')} AS rules_year_one, 21000 + {HUMAN.format(stp='0.85::DOUBLE', v='0.15::DOUBLE')} AS model_year_one FROM w)"
-
-
-def zipf(spark: SparkSession) -> DataFrame:
-    """Running Zipf weights by concentration: 1,500 rows at any scale."""
-    c = F.explode(F.array(*[F.lit(x) for x in (0.6, 1.0, 1.5)])).alias("concentration")
-    i = spark.range(1, 501).select(F.col("id").alias("formats"), c).withColumn("w", 1 / F.pow(F.col("formats"), "concentration"))
-    run = W.partitionBy("concentration").orderBy("formats")
-    return i.withColumn("total", F.sum("w").over(run)).withColumn("covered", F.sum(F.when(F.col("formats") <= 3, F.col("w"))).over(run))
-
-
-def compared(spark: SparkSession) -> DataFrame:
-    human = lambda stp, v: F.lit(O["messages_per_month"] * 12) * (1 - stp) * (v * C.EFFORT["VERIFY"] + (1 - v) * C.EFFORT["KEY"]) / 60 * O["hourly_cost"]
-    z = zipf(spark).withColumn("share", F.col("covered") / F.col("total"))
-    rules = F.col("formats") * RC["days_per_format"] * RC["day"] + human(F.col("share"), F.lit(0.0))
-    model = F.lit((MC["build_days"] + MC["integration_days"]) * MC["day"]) + human(F.lit(0.85), F.lit(0.15))
-    return z.select("concentration", "formats", F.col("share").alias("covered_share"), rules.alias("rules_year_one"), model.alias("model_year_one"))
-
-
-@query("zipf_coverage", f"WITH {ZIPF} SELECT c AS concentration, f AS formats, round(covered / total, 6) AS covered, round((total - covered) / total, 6) AS tail FROM w")
-def zipf_coverage(spark, d):
-    return zipf(spark).select("concentration", "formats", F.round(F.col("covered") / F.col("total"), 6).alias("covered"), F.round((F.col("total") - F.col("covered")) / F.col("total"), 6).alias("tail"))
-
 
-@query("format_compare", f"WITH {ZIPF}, {COMPARE} SELECT concentration, formats, round(rules_year_one, 2) AS rules_year_one, round(model_year_one, 2) AS model_year_one FROM c")
-def format_compare(spark, d):
-    return compared(spark).select("concentration", "formats", F.round("rules_year_one", 2).alias("rules_year_one"), F.round("model_year_one", 2).alias("model_year_one"))
 
+@query("lr_schedule", f"SELECT step, round(CASE WHEN step < 100 THEN step / {d8(100)} ELSE {d8(0.1)} + {d8(0.9)} * {d8(0.5)} * (1 + cos(pi() * (step - 100) / {d8(900)})) END, 9) AS factor FROM (SELECT CAST(o_orderkey AS BIGINT) AS step FROM orders WHERE o_orderkey <= 1000) s")
+def lr_schedule(spark, d):
+    """Linear warm-up over 100 steps, then a cosine down to a tenth at step 1000."""
+    step = F.col("o_orderkey").cast("long")
+    cosine = F.lit(0.1) + F.lit(0.9) * 0.5 * (1 + F.cos(F.pi() * (step - 100) / 900.0))
+    return spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey <= 1000").select(step.alias("step"), F.round(F.when(step < 100, step / 100.0).otherwise(cosine), 9).alias("factor"))
 
-@query("crossover", f"WITH {ZIPF}, {COMPARE} SELECT concentration, coalesce(min(formats) FILTER (model_year_one < rules_year_one), 501) AS formats FROM c GROUP BY concentration")
-def crossover(spark, d):
-    return compared(spark).groupBy("concentration").agg(F.coalesce(F.min(F.when(F.col("model_year_one") < F.col("rules_year_one"), F.col("formats"))), F.lit(501)).alias("formats"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_extract, q_files, q_message, q_more, q_runs, q_schema, q_sequence, q_training
+from . import q_economics, q_extract, q_files, q_message, q_more, q_runs, q_schema, q_sequence, q_training
 
-_MODULES = [q_extract, q_message, q_sequence, q_files, q_more, q_schema, q_training, q_runs]
+_MODULES = [q_extract, q_message, q_sequence, q_files, q_more, q_schema, q_training, q_runs, q_economics]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
