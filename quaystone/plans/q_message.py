@@ -1,9 +1,8 @@
-"""Queries over messages, routing, capture and economics."""
+"""Queries over messages, routing and capture."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -12,7 +11,6 @@ from ..functions import routing as R
 from ..functions import text as T
 from ..functions import validators as V
 from ..operators import capture as K
-from ..operators import payments as P
 from ..operators import routing as RO
 from . import duck as D
 from .q_extract import bics, docs, pay
