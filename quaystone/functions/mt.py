@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import xml.parsers.expat
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..shipping import ship
 from . import routing as R
 from . import validators as V
 
@@ -140,16 +142,75 @@ def _parses(text: str | None) -> bool:
 
 def well_formed(text: Column) -> Column:
     """Whether a text is a well-formed XML document. XPath stops a query at any other text, and Spark has no function that only asks."""
+    ship(SparkSession.active())
     return F.pandas_udf(lambda texts: pd.Series([_parses(t) for t in texts], dtype="boolean"), "boolean")(text)
 
 
+#: For each last step of a path, the keys that end there: (key, pattern of the path of local names, attribute).
+_ENDS: dict[str, list[tuple[str, re.Pattern, str | None]]] = {}
+for _key, _path in MX_PATHS.items():
+    _steps, _at = (_path.rsplit("/@", 1) + [None])[:2]
+    _ENDS.setdefault(_steps.rsplit("/", 1)[-1], []).append((_key, re.compile("(?:.*/)?" + re.escape(_steps).replace("//", "/(?:.*/)?")), _at))
+
+
+def _mx_values(text: str | None) -> dict[str, str] | None:
+    """The first value of each of ``MX_PATHS``, by local names, from one pass over a document; None if it is not well-formed (see ``_parses``)."""
+    if not text:
+        return None
+    found: dict[str, list[str]] = {}
+    above: list[str] = []
+    taking: list[tuple[int, list[str]]] = []
+    parser = xml.parsers.expat.ParserCreate(namespace_separator=" ")
+    parser.buffer_text = True
+
+    def begin(name, attributes):
+        name = name.rsplit(" ", 1)[-1]
+        above.append(name)
+        for key, path, attribute in _ENDS.get(name, ()):
+            if key not in found and path.fullmatch("/".join(above)):
+                if attribute is None:
+                    found[key] = []
+                    taking.append((len(above), found[key]))
+                elif attribute in attributes:
+                    found[key] = [attributes[attribute]]
+
+    def end(_):
+        while taking and taking[-1][0] == len(above):
+            taking.pop()
+        above.pop()
+
+    def data(some):
+        for _, texts in taking:
+            texts.append(some)
+
+    def stop(*_):
+        raise ValueError("document type")
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = begin, end, data, stop
+    try:
+        parser.Parse(text, True)
+    except (xml.parsers.expat.ExpatError, ValueError):
+        return None
+    return {key: "".join(found.get(key, ())).strip(" ") for key in MX_PATHS}
+
+
+def mx_values(text: Column) -> Column:
+    """The fields of a credit transfer message in XML as one struct, each document parsed once; a text that is no
+    well-formed document is not ``ok`` and has null fields."""
+
+    def read(texts: pd.Series) -> pd.DataFrame:
+        rows = [_mx_values(t) for t in texts]
+        return pd.DataFrame({"ok": pd.Series([r is not None for r in rows], dtype="bool"), **{k: pd.Series([r and r[k] for r in rows], dtype="object") for k in MX_PATHS}})
+
+    ship(SparkSession.active())
+    return F.pandas_udf(read, "ok boolean, " + ", ".join(f"{k} string" for k in MX_PATHS))(text)
+
+
 def mx_fields(xml: Column) -> dict[str, Column]:
-    """Fields of a credit transfer message in XML, by local names; the first match of each path, '' where absent."""
-    out = {}
-    for key, path in MX_PATHS.items():
-        steps = [f"@{p[1:]}" if p.startswith("@") else (f"*[local-name()='{p}']" if p else "") for p in path.split("/")]
-        out[key] = F.trim(F.xpath_string(xml, F.lit(f"(//{'/'.join(steps)})[1]")))
-    return out
+    """Fields of a credit transfer message in XML, by local names; the first match of each path, '' where absent, null where the text is no
+    well-formed document. They share one parse of it: XPath would parse it again for each field, and wherever a field is used."""
+    read = mx_values(xml)
+    return {key: read[key] for key in MX_PATHS}
 
 
 def mx_render(v: dict[str, Column]) -> Column:
