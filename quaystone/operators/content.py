@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import lru_cache, partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
+from ..shipping import ship
 from . import xsd as X
 
 #: A bound on repeats above this is taken as none here; ``xsd.faults`` counts repeats of elements exactly.
@@ -194,23 +200,119 @@ def build(rows: DataFrame, xsd: str, key: str = "payment_id") -> DataFrame:
     ``xsd.faults`` finds is listed in ``errors`` as ``kind path``, in order, and makes the message not ok; values outside codes, patterns and
     bounds are written as they are. Rows of one path and counter are written in the order of their values. A null value or path is not
     given; a message without a given row has no result.
+
+    A message is one value of the result: its rows meet in one shuffle, as they are, and all else is worked out where they lie.
     """
-    spark, every = rows.sparkSession, X.nodes(xsd)
-    place = {n["path"]: (n["ord"], n["is_leaf"], None if not n["parent"] else n["parent"] if by["is_choice"] else n["choice"] and f"{n['parent']}/{n['choice'][0]}", n["ord"] if n["parent"] and by["is_choice"] else n["choice"] and n["choice"][1]) for n in every for by in [next((p for p in every if p["path"] == n["parent"]), {"is_choice": False})]}
-    nodes = spark.createDataFrame([(p, o, leaf, c, b) for p, (o, leaf, c, b) in place.items()], "path string, o int, leaf boolean, choice string, branch int")
-    given = rows.where("value is not null and path is not null").select(F.col(key), F.col("path").alias("inst"), X.plain(F.col("path")).alias("path"), "value", "ccy")
-    known = given.join(F.broadcast(nodes.select("path", "leaf")), "path").where("leaf")
-    # each row with all elements above it: their places in the schema and counters, and the choices they take part in
-    above = X.each_above(known.select(key, "inst", "value", "ccy"), "inst").withColumn("path", X.plain(F.col("el"))).join(F.broadcast(nodes.drop("leaf")), "path")
-    counter = F.when(F.endswith("el", F.lit("]")), F.regexp_extract("el", r"\[(\d+)\]$", 1).cast("int")).otherwise(0)
-    above = above.withColumn("counter", counter)
-    holder = F.when(F.col("choice").isNotNull(), F.concat(X.holder(F.col("el")), F.lit("|"), "choice"))
-    # the rows of one choice in one place of a message
-    least = F.min("branch").over(W.partitionBy(key, "holder"))
-    marked = above.withColumn("holder", holder).withColumn("dropped", F.col("holder").isNotNull() & F.coalesce(F.col("branch") > least, F.lit(False)))
-    joined = marked.groupBy(key, "inst", "value", "ccy").agg(F.array_sort(F.collect_list(F.struct("depth", "o", "counter"))).alias("sort"), F.bool_or("dropped").alias("dropped"), F.max("depth").alias("deep"), F.count("*").alias("all"))
-    # equal rows were counted together
-    kept = joined.where("not dropped").select(key, "inst", "value", "ccy", F.array_distinct("sort").alias("sort"), F.explode(F.sequence(F.lit(1), (F.col("all") / F.col("deep")).cast("int"))).alias("time"))
-    xml = _written(kept.drop("time"), "sort", key)
-    found = X.faults(rows.select(key, "path", "value"), xsd, key).groupBy(key).agg(F.array_sort(F.collect_list(F.concat_ws(" ", "kind", "path"))).alias("errors"))
-    return xml.join(found, key, "full").select(key, F.coalesce("xml", F.lit("")).alias("xml"), F.col("errors").isNull().alias("ok"), F.coalesce("errors", F.array().cast("array<string>")).alias("errors"))
+    spark = rows.sparkSession
+    ship(spark)
+    given = rows.where("value is not null and path is not null").select(F.col(key).alias("k"), F.col("path").alias("inst"), X.plain(F.col("path")).alias("path"), "value", "ccy")
+    told = given.join(F.broadcast(X.facts(spark, xsd).select("path", "leaf", "rules")), "path", "left")
+    own = F.when(F.col("leaf").isNull(), "undeclared").when(~F.col("leaf"), "shape").otherwise(X.value_fault(F.col("value"), F.col("rules")))
+    held = told.groupBy("k").agg(F.collect_list(F.struct("inst", "value", "ccy", own.alias("own"))).alias("rows"))
+    schema = StructType([StructField(key, given.schema["k"].dataType), *(StructField(n, t) for n, t in (("xml", StringType()), ("ok", BooleanType()), ("errors", ArrayType(StringType()))))])
+    return held.mapInArrow(partial(_messages, xsd=xsd, key=key), schema)
+
+
+class _Schema:
+    """What the messages of one schema are held against."""
+
+    def __init__(self, xsd: str) -> None:
+        self.every = X.nodes(xsd)
+        self.node = {n["path"]: n for n in self.every}
+        self.need = {n["path"]: X._wanted(self.every, n) for n in self.every if not n["is_leaf"]}
+        self.choice: dict[str, tuple[str, int] | None] = {}  # of the elements that take part in one: its name by the element above, and the branch
+        for n in self.every:
+            by = self.node.get(n["parent"])
+            named = (n["parent"], n["ord"]) if by and by["is_choice"] else (f"{n['parent']}/{n['choice'][0]}", n["choice"][1]) if by and n["choice"] else None
+            self.choice[n["path"]] = named
+        self.at = lru_cache(1 << 16)(self._at)
+
+    def _at(self, inst: str) -> tuple | None:
+        """Of a declared path: its elements as (element, above, plain path, holder of its choice, branch), its place, those above it, its names; else None."""
+        steps, out, place, el, path = inst.split("/"), [], [], "", ""
+        for step in steps:
+            above, name = el or None, re.sub(r"\[\d+\]", "", step)
+            el, path = f"{el}/{step}" if el else step, f"{path}/{name}" if path else name
+            n = self.node.get(path)
+            if n is None:
+                return None
+            held, branch = self.choice[path] or (None, None)
+            counter = re.search(r"\[(\d+)\]$", step, re.ASCII)
+            place.append((n["ord"], int(counter[1]) if counter else 0))
+            out.append((el, above, path, held and f"{above}|{held}", branch))
+        return out, tuple(place), [e[0] for e in out[:-1]], path.split("/"), n["is_leaf"]
+
+    def errors(self, given: list[tuple[str, str]]) -> list[str]:
+        """``kind path`` of the structural faults of a message, from its (instance, value fault) rows: see ``xsd.faults``."""
+        out = [f"{own} {inst}" for inst, own in given if own is not None]
+        times: dict[tuple, list] = {}
+        for inst, _ in given:
+            at = self.at(inst)
+            if at is None:
+                continue
+            for e in at[0]:
+                times.setdefault(e[0], [e, 0])
+            times[at[0][-1][0]][1] += 1
+        children: dict[tuple, int] = {}
+        have: dict[str, set] = {}
+        branches: dict[tuple, set] = {}
+        for e, n in times.values():
+            _, above, path, _, _ = e
+            children[above, path] = children.get((above, path), 0) + max(n, 1)
+            if above is not None:
+                have.setdefault(above, set()).add(path)
+                if (c := self.node[path]["choice"]) is not None:
+                    branches.setdefault((above, c[0]), set()).add(c[1])
+        for (above, path), n in children.items():
+            most = self.node[path]["max_occurs"]
+            if most is not None and n > most:
+                out.append(f"repeats {path if above is None else above + '/' + self.node[path]['name']}")
+        for above, names in have.items():
+            parent = times[above][0][2]
+            for some, faults in self.need.get(parent, ()):
+                if names.isdisjoint(some):
+                    out += [f"{kind} {above}{path[len(parent):]}" for kind, path in faults]
+            if self.node[parent]["is_choice"] and len(names) > 1:
+                out.append(f"branches {above}")
+        out += [f"branches {above}/{c}" for (above, c), taken in branches.items() if len(taken) > 1]
+        return sorted(out)
+
+    def xml(self, given: list[tuple[str, str, str | None]]) -> str:
+        """A message's (instance, value, ccy) rows in the schema's order, of each choice the first branch."""
+        known = [(at, inst, v, c) for inst, v, c in given if (at := self.at(inst)) is not None and at[4]]
+        least: dict[str, int] = {}
+        for at, *_ in known:
+            for e in at[0]:
+                if e[3] is not None:
+                    least[e[3]] = min(e[4], least.get(e[3], e[4]))
+        esc = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+        kept = []
+        for at, inst, v, c in known:
+            if all(e[3] is None or e[4] == least[e[3]] for e in at[0]):
+                kept.append((at[1], inst, "" if c is None else ' Ccy="' + esc(c).replace('"', "&quot;") + '"', esc(v), at[2], at[3]))
+        kept.sort(key=lambda r: r[:4])
+        out: list[str] = []
+        open_, names = [], []
+        for _, _, ccy, value, above, path in kept:
+            same = 0
+            while same < min(len(open_), len(above)) and open_[same] == above[same]:
+                same += 1
+            out += [f"</{n}>" for n in reversed(names[same : len(open_)])]
+            out += [f"<{n}>" for n in path[same : len(above)]]
+            out.append(f"<{path[-1]}{ccy}>{value}</{path[-1]}>")
+            open_, names = above, path
+        return "".join(out + [f"</{n}>" for n in reversed(names[: len(open_)])])
+
+
+def _messages(batches, xsd: str, key: str):
+    held = _Schema(xsd)
+    for b in batches:
+        lists = b.column(1)
+        cells, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        inst, value, ccy, own = (cells.field(n).to_pylist() for n in ("inst", "value", "ccy", "own"))
+        xml, errors = [], []
+        for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            xml.append(held.xml(list(zip(inst[lo:hi], value[lo:hi], ccy[lo:hi], strict=True))))
+            errors.append(held.errors(list(zip(inst[lo:hi], own[lo:hi], strict=True))))
+        out = [b.column(0), pa.array(xml, pa.string()), pa.array([not e for e in errors], pa.bool_()), pa.array(errors, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(out, names=[key, "xml", "ok", "errors"])
