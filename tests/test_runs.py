@@ -109,3 +109,12 @@ def test_visits_over_starts_with_late_and_missing_times(spark, tmp_path):
     assert got == [(-1, 7), (1, 0), (1, 120), (2, 5), (2, 125)]
     table = seen.table(spark)
     assert table.agg(F.sum("rows_in")).first()[0] == 11 and table.orderBy(F.col("batch").desc()).first().state_rows <= 2
+
+
+def test_fixture_files_are_written_by_many_tasks(spark, sf):
+    from quaystone.plans import q_runs
+
+    for kind, end in (("mt", ".txt"), ("mx", ".xml")):
+        names = [r["path"].rsplit("/", 1)[-1] for r in spark.read.format("binaryFile").load(q_runs.fixtures(spark, sf, kind)).select("path").collect()]
+        assert len(names) == spark.read.parquet(f"{sf}/supplier.parquet").count() and all(n.endswith(end) for n in names)
+        assert len({n.split("-")[1] for n in names}) > 1
