@@ -31,10 +31,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies on five-word shingles at 0.8 similarity. Texts without words
-    are in no group. All columns are kept."""
+    """One document, that with the smallest doc_id, of each group of near copies: SimHash fingerprints of at most 2 differing bits, found by
+    the covering, or 0.8 similarity on five-word shingles. Texts without words are in no group. All columns are kept."""
     rows = common.with_row(boxed(docs))
-    gone = simhash.near_rows(rows.select("doc_id", "text", "__r"), width=5, least=0.8).where("not kept").select("__r")
+    gone = simhash.near_rows(rows.select("doc_id", "text", "__r"), width=5, least=0.8, most=2).where("not kept").select("__r")
     return rows.join(gone, "__r", "left_anti").select("__row.*")
 
 

@@ -155,7 +155,7 @@ def _compare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text"))
     return common.materialize(common.arrow_map(rows, lambda it: _fingerprints(it, width), "doc_id long, fp long"), "simhash")
 
 
@@ -382,13 +382,28 @@ def _cell(cell: pa.Table, least: float) -> pa.Table:
     return pa.table([pa.array(np.ascontiguousarray(e[:, c])) for c in (0, 1)], schema=LINKS)
 
 
-def near_rows(rows: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+def print_links(texts: DataFrame, most: int = 2) -> DataFrame:
+    """Links (u, v) between rows of ``texts(doc, text)``, doc unique, that span those of fingerprints of at most ``most`` differing bits,
+    found by the covering as in ``near_duplicates``. Texts without words, whose fingerprint is zero, link to nothing."""
+    prints = fingerprints(texts.select(F.col("doc").alias("doc_id"), "text")).where("fp <> 0")
+    nodes = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "near-prints")
+    of = lambda side: nodes.select(F.col("fp").alias(side), F.col("first").alias(f"{side}_doc"))
+    far = links(nodes.select("fp"), most).distinct().join(of("u"), "u").join(of("v"), "v").select(F.col("u_doc").alias("u"), F.col("v_doc").alias("v"))
+    same = common.spread_join(prints, nodes, "fp", "n", prints.count()).where("doc_id <> first")
+    return far.union(same.select(F.col("first").alias("u"), F.col("doc_id").alias("v")))
+
+
+def near_rows(rows: DataFrame, width: int = 5, least: float = 0.8, most: int | None = None) -> DataFrame:
     """__r and root of those of ``rows(__r, doc_id, text)`` that are linked to another, and __r and doc_id of the row that stays for them.
 
-    Of each group the row with the smallest doc_id stays (none is last; of equal ones that with the smallest number).
+    Linked by similarity and, if ``most`` is given, by fingerprints of at most so many differing bits as well. Of each group the row with
+    the smallest doc_id stays (none is last; of equal ones that with the smallest number).
     """
     texts = rows.select(F.col("__r").alias("doc"), common.text_or_empty().cast("binary").alias("text"))
-    roots = common.materialize(similar_groups(texts, width, least).select(F.col("node").alias("__r"), "root"), "near-roots")
+    roots = similar_groups(texts, width, least)
+    if most is not None:
+        roots = graph.components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(print_links(texts, most)))
+    roots = common.materialize(roots.select(F.col("node").alias("__r"), "root"), "near-roots")
     named = roots.join(rows.select("__r", F.col("doc_id").cast("long").alias("id")), "__r")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__r")).alias("best")
     kept = named.groupBy("root").agg(best, F.count("*").alias("n")).select("root", F.col("best.id").alias("component_id"), F.col("best.__r").alias("keep"), "n")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from quaystone.llm import kneser_ney, tokens
+from quaystone.llm import kneser_ney, simhash, tokens
 
 
 def test_run_ends_in_full_pieces(spark, sf):
@@ -137,3 +137,14 @@ def test_stages_keep_columns_of_any_name(spark, sf, odd, k):
         assert kept and all(r[3 + i] == f"{n} {'none' if r['doc_id'] is None else r['doc_id']}" for r in kept for i, n in enumerate(names))
     else:
         assert out.count() >= rows.count()
+
+
+def test_near_stage_links_near_fingerprints(spark, sf):
+    """Texts whose SimHash agrees while they share few distinct shingles: the covering links them, similarity alone does not."""
+    same = " ".join(["a b c d e"] * 300)
+    rows = [(i, f"{same} " + " ".join(f"w{i}x{k}" for k in range(40))) for i in (5, 4, 9)] + [(1, "quite another text of some words"), (2, ""), (3, None)]
+    prints = [simhash.fingerprint(t.encode()) for _, t in rows[:3]]
+    assert all((x ^ y).bit_count() <= 2 for x in prints for y in prints)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in P.near(spark, df, sf).collect()) == [1, 2, 3, 4]
+    assert simhash.near_groups(df).count() == 0
