@@ -125,12 +125,25 @@ def violations(rows: DataFrame, xsd: str, key: str = "payment_id") -> DataFrame:
     passed over; ``incomplete`` an element that ends where its model asks for more. ``expected`` are the names that were allowed there. Null
     paths and values are not given, undeclared elements are left to ``xsd.faults``; rows without a place come first; equal rows are elements
     each. Elements of an unbounded number of children are cut into blocks of places, for which the state after each possible state before is
-    worked out; blocks meet as these small arrays, and each is then run once from the state that it really starts in.
+    worked out; blocks meet as these small arrays, and each is then run once from the state that it really starts in. That takes several
+    shuffles, so only messages of over BLOCK rows go this way; the rows of any other meet in one, as they are, and are run where they lie.
     """
     spark = rows.sparkSession
+    ship(spark)
+    given = rows.where("value is not null and path is not null").select(F.col(key).alias("k"), F.col("path").alias("at"), F.coalesce(F.col("ord").cast("long"), F.lit(-1)).alias("ord")).where("k is not null")
+    # at most one key for each BLOCK rows
+    large = F.broadcast(given.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("k"))
+    held = given.join(large, "k", "left_anti").groupBy("k").agg(F.collect_list(F.struct("at", "ord")).alias("rows"))
+    schema = StructType([StructField(n, t) for n, t in (("k", given.schema["k"].dataType), ("kind", StringType()), ("path", StringType()), ("expected", ArrayType(StringType())))])
+    small = held.mapInArrow(partial(_orders, xsd=xsd), schema)
+    return small.unionByName(_in_blocks(given.join(large, "k", "left_semi"), xsd)).withColumnRenamed("k", key)
+
+
+def _in_blocks(given: DataFrame, xsd: str) -> DataFrame:
+    """(k, kind, path, expected) of messages of any size, given as rows ``(k, at, ord)``: see ``violations``."""
+    spark = given.sparkSession
     models = F.broadcast(table(spark, xsd))  # as large as the schema
     leaf = X.facts(spark, xsd).select("path", "leaf")
-    given = rows.where("value is not null and path is not null").select(F.col(key).alias("k"), F.col("path").alias("at"), F.coalesce(F.col("ord").cast("long"), F.lit(-1)).alias("ord"))
     each = X.each_above(given).groupBy("k", "el").agg(F.min("ord").alias("ord"), F.greatest(F.count_if(F.col("at") == F.col("el")), F.lit(1)).alias("n"))
     each = each.withColumn("path", X.plain(F.col("el"))).join(F.broadcast(leaf), "path")
     each = each.withColumn("above", X.holder(F.col("el"))).withColumn("name", F.substring_index("path", "/", -1))
@@ -157,7 +170,87 @@ def violations(rows: DataFrame, xsd: str, key: str = "payment_id") -> DataFrame:
     )
     bad = met.select("k", "follow", F.explode(seen["bad"]).alias("b")).select("k", F.lit("unexpected").alias("kind"), F.col("b.el").alias("path"), F.get("follow", F.col("b.s")).alias("expected"))
     ends = met.where("block = -1").where(~F.get("accept", F.col("end"))).select("k", F.lit("incomplete").alias("kind"), F.col("above").alias("path"), F.get("follow", F.col("end")).alias("expected"))
-    return bad.unionByName(ends).withColumnRenamed("k", key)
+    return bad.unionByName(ends)
+
+
+class _Order:
+    """Runs the automata of a schema over messages given as paths in their order."""
+
+    def __init__(self, xsd: str) -> None:
+        self.declared = {n["path"] for n in X.nodes(xsd)}
+        self.models = automata(xsd)
+        self.at = lru_cache(1 << 16)(self._at)
+        self.faults = lru_cache(1 << 12)(self._faults)
+
+    def _at(self, path: str) -> list[tuple[str, str | None, str]]:
+        """(element, the one above, name) of the declared elements of a path, from the outermost to itself."""
+        out: list[tuple[str, str | None, str]] = []
+        el, plain = None, ""
+        for step in path.split("/"):
+            above, name = el, re.sub(r"\[\d+\]", "", step, flags=re.ASCII)
+            el, plain = (step, name) if above is None else (f"{above}/{step}", f"{plain}/{name}")
+            if plain not in self.declared:
+                break
+            out.append((el, above, name))
+        return out
+
+    def _faults(self, paths: tuple[str, ...]) -> list[tuple[str, str, list[str]]]:
+        """(kind, element, names allowed there) of a message: see ``violations``."""
+        times: dict[str, int] = {}
+        children: dict[str, list[tuple[str, str]]] = {}
+        plain: dict[str, str] = {}
+        for path in paths:
+            for el, above, name in self.at(path):
+                if el not in times:
+                    times[el], children[el] = 0, []
+                    plain[el] = name if above is None else f"{plain[above]}/{name}"
+                    if above is not None:
+                        children[above].append((el, name))
+                times[el] += el == path
+        out = []
+        for el, below in children.items():
+            if (model := self.models.get(plain[el])) is None:
+                continue
+            state = 0
+            for child, name in below:
+                for _ in range(max(times[child], 1)):
+                    to = model.step[state][model.names.index(name)] if name in model.names else -1
+                    if to < 0:
+                        out.append(("unexpected", child, model.follow(state)))
+                    else:
+                        state = to
+            if not model.accept[state]:
+                out.append(("incomplete", el, model.follow(state)))
+        return out
+
+
+def _cells(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """The rows of a batch's messages, and where each message's rows begin and end."""
+    lists = b.column(1)
+    return lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+
+
+def _orders(batches, xsd: str):
+    held = _Order(xsd)
+    for b in batches:
+        cells, ends = _cells(b)
+        coded = cells.field("at").dictionary_encode()
+        paths, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        # the place, and within it the elements' names from the outermost on
+        rank = np.empty(len(paths), np.int64)
+        rank[sorted(range(len(paths)), key=lambda i: paths[i].split("/"))] = np.arange(len(paths))
+        code = code[np.lexsort([rank[code], cells.field("ord").to_numpy(), np.repeat(np.arange(len(b)), np.diff(ends))])]
+        # messages of the same paths in the same order have the same faults
+        known: dict[bytes, list] = {}
+        at, out = [], []
+        for i, (lo, hi) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            shape = code[lo:hi].tobytes()
+            if (faults := known.get(shape)) is None:
+                faults = known[shape] = held.faults(tuple(paths[c] for c in code[lo:hi]))
+            at += [i] * len(faults)
+            out += faults
+        columns = [b.column(0).take(pa.array(at, pa.int64())), *(pa.array([f[k] for f in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.list_(pa.string()))))]
+        yield pa.RecordBatch.from_arrays(columns, names=["k", "kind", "path", "expected"])
 
 
 def _written(rows: DataFrame, sort: str, key: str) -> DataFrame:
