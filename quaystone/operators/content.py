@@ -253,36 +253,53 @@ def _orders(batches, xsd: str):
         yield pa.RecordBatch.from_arrays(columns, names=["k", "kind", "path", "expected"])
 
 
-def _written(rows: DataFrame, sort: str, key: str) -> DataFrame:
-    """(key, xml) of rows (key, inst, value, ccy, sort): elements open and close where a row's path leaves that of the row before it."""
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    ccy = F.when(F.col("ccy").isNotNull(), F.concat(F.lit(' Ccy="'), F.replace(esc(F.col("ccy")), F.lit('"'), F.lit("&quot;")), F.lit('"'))).otherwise("")
-    above = F.split(X.holder(F.col("inst")), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size("above")), lambda n: F.array_join(F.slice("above", F.lit(1), n), "/"))
-    names = F.split(X.plain(F.col("inst")), "/")
-    made = rows.withColumn("above", F.coalesce(above, F.array().cast("array<string>"))).withColumn("prefixes", F.when(F.size("above") > 0, prefixes).otherwise(F.array().cast("array<string>")))
-    made = made.select(F.col(key).alias("k"), F.struct(F.col(sort).alias("sort"), "inst", ccy.alias("ccy"), esc(F.coalesce("value", F.lit(""))).alias("value"), "prefixes", names.alias("names")).alias("r"))
-    # a message is one value of the result: its rows meet in any case
-    held = made.groupBy("k").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    # how many elements above two rows are the same
-    shared = lambda a, b: F.size(F.array_intersect(a["prefixes"], b["prefixes"]))
-    below = lambda r, n: F.slice(r["names"], n + 1, F.greatest(F.size(r["prefixes"]) - n, F.lit(0)))
-
-    def piece(r, i):
-        before, after = F.get("rows", i - 1), F.get("rows", i + 1)
-        opened, closed = F.when(i > 0, below(r, shared(before, r))).otherwise(below(r, F.lit(0))), F.when(i + 1 < F.size("rows"), below(r, shared(r, after))).otherwise(below(r, F.lit(0)))
-        leaf = F.element_at(r["names"], -1)
-        opening = F.when(F.size(opened) > 0, F.concat(F.lit("<"), F.array_join(opened, "><"), F.lit(">"))).otherwise("")
-        closing = F.when(F.size(closed) > 0, F.concat(F.lit("</"), F.array_join(F.reverse(closed), "></"), F.lit(">"))).otherwise("")
-        return F.concat(opening, F.lit("<"), leaf, r["ccy"], F.lit(">"), r["value"], F.lit("</"), leaf, F.lit(">"), closing)
-
-    return held.select(F.col("k").alias(key), F.array_join(F.transform("rows", piece), "").alias("xml"))
-
-
 def render(rows: DataFrame, key: str = "payment_id") -> DataFrame:
     """(key, xml) of messages given as rows ``(key, path, value, ccy, ord)``, in the order of ``ord``, as they are. Null values are not given."""
-    given = rows.where("value is not null and path is not null").select(key, F.col("path").alias("inst"), "value", "ccy", F.col("ord").cast("long").alias("ord"))
-    return _written(given, "ord", key)
+    ship(rows.sparkSession)
+    given = rows.where("value is not null and path is not null").select(F.col(key).alias("k"), F.struct(F.col("ord").cast("long").alias("ord"), F.col("path").alias("inst"), "value", "ccy").alias("r"))
+    # a message is one value of the result: its rows meet in any case, as they are
+    held = given.groupBy("k").agg(F.collect_list("r").alias("rows"))
+    return held.mapInArrow(partial(_texts, key=key), StructType([StructField(key, given.schema["k"].dataType), StructField("xml", StringType())]))
+
+
+def _escaped(text: str) -> str:
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+
+def _currency(ccy: str | None) -> str:
+    return "" if ccy is None else ' Ccy="' + _escaped(ccy).replace('"', "&quot;") + '"'
+
+
+def _tags(rows) -> str:
+    """The text of rows (ccy, value, elements above, names) in their order: elements open and close where a row's path leaves that of the row before it."""
+    out: list[str] = []
+    open_, names = [], []
+    for ccy, value, above, path in rows:
+        same = 0
+        while same < min(len(open_), len(above)) and open_[same] == above[same]:
+            same += 1
+        out += [f"</{n}>" for n in reversed(names[same : len(open_)])]
+        out += [f"<{n}>" for n in path[same : len(above)]]
+        out.append(f"<{path[-1]}{ccy}>{value}</{path[-1]}>")
+        open_, names = above, path
+    return "".join(out + [f"</{n}>" for n in reversed(names[: len(open_)])])
+
+
+@lru_cache(1 << 16)
+def _steps(inst: str) -> tuple[list[str], list[str]]:
+    """The elements above one, from the outermost on, and the names down to it."""
+    steps = inst.split("/")
+    return ["/".join(steps[:n]) for n in range(1, len(steps))], re.sub(r"\[\d+\]", "", inst, flags=re.ASCII).split("/")
+
+
+def _texts(batches, key: str):
+    for b in batches:
+        cells, ends = _cells(b)
+        place, inst, value, ccy = (cells.field(n).to_pylist() for n in ("ord", "inst", "value", "ccy"))
+        # rows without a place come first
+        rows = [((o is not None, o or 0), i, _currency(c), _escaped(v)) for o, i, v, c in zip(place, inst, value, ccy, strict=True)]
+        xml = [_tags((c, v, *_steps(i)) for _, i, c, v in sorted(rows[lo:hi])) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(xml, pa.string())], names=[key, "xml"])
 
 
 def build(rows: DataFrame, xsd: str, key: str = "payment_id") -> DataFrame:
@@ -378,30 +395,18 @@ class _Schema:
             for e in at[0]:
                 if e[3] is not None:
                     least[e[3]] = min(e[4], least.get(e[3], e[4]))
-        esc = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
         kept = []
         for at, inst, v, c in known:
             if all(e[3] is None or e[4] == least[e[3]] for e in at[0]):
-                kept.append((at[1], inst, "" if c is None else ' Ccy="' + esc(c).replace('"', "&quot;") + '"', esc(v), at[2], at[3]))
+                kept.append((at[1], inst, _currency(c), _escaped(v), at[2], at[3]))
         kept.sort(key=lambda r: r[:4])
-        out: list[str] = []
-        open_, names = [], []
-        for _, _, ccy, value, above, path in kept:
-            same = 0
-            while same < min(len(open_), len(above)) and open_[same] == above[same]:
-                same += 1
-            out += [f"</{n}>" for n in reversed(names[same : len(open_)])]
-            out += [f"<{n}>" for n in path[same : len(above)]]
-            out.append(f"<{path[-1]}{ccy}>{value}</{path[-1]}>")
-            open_, names = above, path
-        return "".join(out + [f"</{n}>" for n in reversed(names[: len(open_)])])
+        return _tags(row[2:] for row in kept)
 
 
 def _messages(batches, xsd: str, key: str):
     held = _Schema(xsd)
     for b in batches:
-        lists = b.column(1)
-        cells, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+        cells, ends = _cells(b)
         inst, value, ccy, own = (cells.field(n).to_pylist() for n in ("inst", "value", "ccy", "own"))
         xml, errors = [], []
         for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):

@@ -1,4 +1,4 @@
-"""A message's rows are moved once to be held against the content models."""
+"""A message's rows are moved once to be held against the content models, and once to be written."""
 
 import random
 
@@ -12,9 +12,9 @@ from quaystone.plans.q_schema import ORDER, placed_rows
 PLACED = "payment_id long, path string, value string, ccy string, ord long"
 
 
-@pytest.mark.parametrize("name, moves", [("content_faults", 1)])
+@pytest.mark.parametrize("name, moves", [("content_faults", 1), ("content_agrees", 2)])
 def test_rows_of_a_message_meet_once(spark, sf, name, moves):
-    """Cells of messages pass a shuffle once; messages of over BLOCK rows, of which there is none, add no stage."""
+    """Cells of messages pass a shuffle once for each of the two results; messages of over BLOCK rows, of which there is none, add no stage."""
     df = registry.queries()[name](spark, sf)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
@@ -33,6 +33,12 @@ def test_small_messages_are_run_as_large_ones(spark, monkeypatch):
     assert whole and whole == sorted(map(str, CM.violations(given, ORDER).collect()))
 
 
+def test_messages_are_written_in_their_order(spark):
+    rows = [(1, "D/B[2]/C", "x<", "E\"U", 2), (1, "D/A", "&", None, None), (1, "D/B[1]/C", "y", None, 1), (1, "D/B[2]/C", "a", None, 2), (1, "D/Z", None, None, 0), (2, "D", "1", None, 0)]
+    got = {r.payment_id: r.xml for r in CM.render(spark.createDataFrame(rows, PLACED)).collect()}
+    assert got == {1: '<D><A>&amp;</A><B><C>y</C></B><B><C>a</C><C Ccy="E&quot;U">x&lt;</C></B></D>', 2: "<D>1</D>"}
+
+
 def test_large_and_small_messages_in_one_table(spark, sf, monkeypatch):
     rows = placed_rows(spark, sf).where("payment_id < 200")
     want = sorted(map(str, CM.violations(rows, ORDER).collect()))
