@@ -1,8 +1,8 @@
 """Quality by the perplexity under an interpolated modified Kneser-Ney trigram model of trusted text.
 
-Counts, continuation counts and discounts are those of a bounded sample of trusted labelled documents. They are counted by Spark and fitted
-into sorted arrays on the driver, whose size the sample bounds, and every task gets them by broadcast: documents are scored where they lie,
-and no n-gram of the corpus is shuffled. Thresholds are quantiles, by language, over all trusted documents.
+Counts, continuation counts and discounts are those of all trusted labelled documents of the half that trains; the other half, whose texts the
+model has not seen, sets the thresholds, quantiles by language. Spark counts the trigrams. Up to BROADCAST_TRIGRAMS of them are fitted into
+sorted arrays that tasks get by broadcast; more stay tables in shards, with which the documents' n-grams are joined (``kn_counts``).
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from . import common
+from . import common, kn_counts
 
-#: The bound of the sample: at most so many documents of each language train a model, each with its whole text.
+#: Models of at most so many distinct trigrams are broadcast.
+BROADCAST_TRIGRAMS = 1 << 20
+#: Where a caller asks for a sample, which no query does: a number of documents of each language, and the most documents in all.
 SAMPLE_DOCS = 700
-#: At most so many documents in all, so that a language column with thousands of values does not lift the bound.
 SAMPLE_ALL = 16 * SAMPLE_DOCS
 #: A document is rejected above this quantile of its language's trusted perplexities (log10), or of its trusted toxicities.
 QUANTILE = 0.99
@@ -134,8 +135,12 @@ class Model:
 
 
 def discounts(counts: np.ndarray) -> np.ndarray:
-    """D1, D2 and D3+ of modified Kneser-Ney from the counts of counts; half where they cannot be estimated."""
-    n = [max(0, int((counts == k).sum())) for k in range(1, 5)]
+    """D1, D2 and D3+ of modified Kneser-Ney from the counts."""
+    return discounts_of([int((counts == k).sum()) for k in range(1, 5)])
+
+
+def discounts_of(n: list[int]) -> np.ndarray:
+    """The same from the counts of counts 1 to 4; half where they cannot be estimated."""
     if not n[0] or not n[1]:
         return np.array([0.0, 0.5, 0.5, 0.5])
     y = n[0] / (n[0] + 2 * n[1])
@@ -148,9 +153,17 @@ def fit(sample: DataFrame, shards: int = SHARDS, most_words: int = (1 << BITS) -
 
     The vocabulary holds at most 2^BITS - 3 words, the most frequent ones; trigrams with rarer words train nothing, as if unknown.
     """
-    spark = sample.sparkSession
-    tri = common.arrow_map(sample.select("text"), _trigrams, "u long, v long, w long, n long")
-    tri = common.materialize(tri.groupBy("u", "v", "w").agg(F.sum("n").alias("n")), "kn-trigrams")
+    return fit_counts(count_trigrams(sample), shards, most_words)
+
+
+def count_trigrams(texts: DataFrame) -> DataFrame:
+    """(u, v, w, n) of ``texts(text binary)``. Rows are dealt by the first two words and kept in order, in which they pack well."""
+    tri = common.arrow_map(texts.select("text"), _trigrams, "u long, v long, w long, n long")
+    tri = tri.repartition(common.partitions(texts.sparkSession), "u", "v").groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
+    return common.materialize(tri.sortWithinPartitions("u", "v", "w"), "kn-trigrams")
+
+
+def fit_counts(tri: DataFrame, shards: int = SHARDS, most_words: int = (1 << BITS) - 4) -> Model:
     parts = []
     for k in range(shards):
         part = tri.where(F.pmod(F.xxhash64("u", "v"), F.lit(shards)) == k).toArrow()
@@ -282,7 +295,54 @@ def _score(batches: Iterator[pa.RecordBatch], held, held_toxic) -> Iterator[pa.R
             yield out
 
 
-def quality(docs: DataFrame, labels: DataFrame, per_lang: int = SAMPLE_DOCS, quantile: float = QUANTILE, rows_too: bool = False) -> DataFrame:
+def _score_joined(batches: Iterator[pa.RecordBatch], model: dict, paths: list[str]) -> Iterator[pa.RecordBatch]:
+    """As ``_score``, from the counts that were asked for."""
+    for c, rows in _chunks(batches):
+        low, high = (kn_counts._read(p, c.chunk, c.mark) for p in paths)
+        logs, far = c.log10(model, low, high)
+        at = 0
+        for b in rows:
+            here = slice(at, at := at + b.num_rows)
+            toxicity = pa.array(far[here], mask=~np.isfinite(far[here]))
+            out = common.batch(SCORES, doc_id=b.column(0), n_tokens=c.sizes[here], log10_prob=logs[here], lang=b.column(2), toxicity=toxicity)
+            for k in range(3, b.num_columns):
+                out = pa.RecordBatch.from_arrays([*out.columns, b.column(k)], schema=out.schema.append(b.schema.field(k)))
+            yield out
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], text: int = 1):
+    return kn_counts.chunks(batches, text, hashes, words, START, END)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]):
+    return _chunks(batches, 0)
+
+
+def _joined(rows: DataFrame, trigrams: DataFrame, bad: DataFrame | None, shape: StructType) -> DataFrame:
+    """``rows(doc_id, text, lang, ...)`` scored by joins with sharded counts."""
+    tables = kn_counts.Tables(trigrams, bad, discounts_of)
+    shards, turns, model, paths = tables.shards, tables.turns, tables.model, []
+    for level in (0, 1):
+        answered = paths[0] if level else None
+        asks = lambda turn, answered=answered: common.arrow_map(rows.select("text"), lambda it: kn_counts.asked(it, _texts, shards, answered, turn, turns), kn_counts.PARTS)
+        paths.append(tables.answers(level, asks))
+    scored = common.materialize(common.arrow_map(rows, lambda it: _score_joined(it, model, paths), shape), "kn-scores")
+    common.drop(rows.sparkSession, *paths)
+    return scored
+
+
+def training_texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``text`` of the documents with these ids, each id's once: of rows that share an id one trains, the least text."""
+    chosen = common.lookup_join(rows.select("doc_id", "text"), ids, "doc_id", ids.count())
+    again = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id").join(ids, "doc_id", "left_semi")
+    n = again.count()
+    if not n:
+        return chosen.select("text")
+    several = common.lookup_join(chosen, again, "doc_id", n).groupBy("doc_id").agg(F.min("text").alias("text"))
+    return chosen.join(again, "doc_id", "left_anti").select("text").union(several.select("text"))
+
+
+def quality(docs: DataFrame, labels: DataFrame, per_lang: int | None = None, quantile: float = QUANTILE, rows_too: bool = False) -> DataFrame:
     """One row for each row of ``docs(doc_id, text, lang)``: doc_id, lang, n_tokens, log10_perplexity, score, threshold, toxicity, keep.
 
     Tokens are words between white space, A-Z lower-cased, and an end; perplexity is by token. The score is the log10 perplexity, drawn
@@ -298,23 +358,30 @@ def quality(docs: DataFrame, labels: DataFrame, per_lang: int = SAMPLE_DOCS, qua
     rows = docs.select(F.col("doc_id").cast("long"), common.text_or_empty().cast("binary").alias("text"), "lang", F.struct(*[F.col("`" + n.replace("`", "``") + "`") for n in docs.columns]).alias("__row"))
     more = ["__row"] if rows_too else []
 
-    def model(ids: DataFrame) -> tuple[Model, int]:
-        chosen = common.materialize(training_sample(rows, ids, per_lang), "kn-sample")
-        n = chosen.count()
-        # SAMPLE_ALL ids at most; of rows that share an id one trains, the least text
-        texts = rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-        return fit(texts), n
-
-    held = spark.sparkContext.broadcast(model(trusted(labels))[0])
-    bad, n = model(toxic(labels))
-    held_toxic = spark.sparkContext.broadcast(bad) if n else None
     inputs = rows.select("doc_id", "text", "lang", *more)
+    if "Exchange" in inputs._jdf.queryExecution().executedPlan().toString():
+        # documents are read several times, and have to be dealt alike each time
+        inputs = common.materialize(inputs, "kn-documents")
+
+    def counted(ids: DataFrame) -> DataFrame:
+        chosen = ids.where(trains()) if per_lang is None else training_sample(rows, ids, per_lang)
+        tri = count_trigrams(training_texts(rows, common.materialize(chosen, "kn-trains")))
+        common.release(spark)
+        return tri
+
+    trigrams, bad = counted(trusted(labels)), counted(toxic(labels))
+    n, n_bad = trigrams.count(), bad.count()
     shape = StructType.fromDDL("doc_id long, n_tokens long, log10_prob double, lang string, toxicity double")
     if more:
         shape = shape.add("__row", rows.schema["__row"].dataType)
-    scored = common.arrow_map(inputs, lambda it: _score(it, held, held_toxic), shape)
+    if max(n, n_bad) > BROADCAST_TRIGRAMS:
+        scored = _joined(inputs, trigrams, bad if n_bad else None, shape)
+    else:
+        held = spark.sparkContext.broadcast(fit_counts(trigrams))
+        held_toxic = spark.sparkContext.broadcast(fit_counts(bad)) if n_bad else None
+        scored = common.materialize(common.arrow_map(inputs, lambda it: _score(it, held, held_toxic), shape), "kn-scores")
+    common.drop(spark, trigrams.scratch_path, bad.scratch_path)
     scored = scored.withColumn("log10_perplexity", F.when(F.col("n_tokens") > 0, -F.col("log10_prob") / (F.col("n_tokens") + 1)))
-    scored = common.materialize(scored, "kn-scores")
     key = F.coalesce("lang", F.lit(""))
     good = scored.join(trusted(labels), "doc_id", "left_semi").where("log10_perplexity is not null")
     # what trained the model would look too easy: medians and thresholds come from the other half

@@ -552,6 +552,34 @@ def test_probabilities_are_those_of_a_direct_computation(spark):
     assert np.allclose(got, [slow_kneser_ney(train, t) for t in asked], rtol=1e-9)
 
 
+def test_all_trusted_texts_of_the_training_half_train(spark):
+    rows = [(i, f"some prose with own{i} word", "en") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    got = kneser_ney.quality(df, labels).where(kneser_ney.trains()).select(F.round("log10_perplexity", 9).alias("p")).collect()
+    # every one has a word of its own, which the model knows in each of them
+    assert len(got) > 2 * 450 and len({r["p"] for r in got}) == 1
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_joined_counts_give_the_scores_of_the_broadcast_model(spark, monkeypatch, odd, empty, toxic):
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("aeioulrnst") for _ in range(rng.randint(1, 4))) for _ in range(80)]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 60))), rng.choice(["en", "fr", None])) for i in range(400)] + [(7, "twice there", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), int(i % 7 == 0) * toxic) for i in range(300)], "doc_id long, quality int, toxic int")
+    for docs in (df, odd, empty) if toxic else (df,):
+        order = lambda q: sorted((tuple(r) for r in q.select("doc_id", "lang", "n_tokens", "log10_perplexity", "score", "threshold", "toxicity", "keep", F.col("__row.text")).collect()), key=lambda r: str((r[0], r[1], r[8])))
+        monkeypatch.setattr(kneser_ney, "BROADCAST_TRIGRAMS", 1 << 20)
+        whole = order(kneser_ney.quality(docs, labels, rows_too=True))
+        monkeypatch.setattr(kneser_ney, "BROADCAST_TRIGRAMS", -1)
+        joined = order(kneser_ney.quality(docs, labels, rows_too=True))
+        assert len(whole) == len(joined) == docs.count()
+        for a, b in zip(whole, joined, strict=True):
+            assert (a[:3], a[7:]) == (b[:3], b[7:])
+            assert all(x == y if x is None or y is None else x == pytest.approx(y, rel=1e-9, abs=1e-12) for x, y in zip(a[3:7], b[3:7], strict=True))
+
+
 def test_many_languages_and_words_stay_within_the_bound(spark, monkeypatch):
     monkeypatch.setattr(kneser_ney, "SAMPLE_ALL", 50)
     rows = [(i, f"w{i} common words here {i % 7}", f"l{i}") for i in range(300)] + [(1, "again", "l1")]
