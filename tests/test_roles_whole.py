@@ -32,3 +32,14 @@ def test_the_guarded_amount_pattern_finds_the_same(spark):
     old = F.array_join(F.transform(F.regexp_extract_all("t", F.lit(C.AMOUNT_CONTEXT), 0), V.alnum), "")
     both = rows.select("t", old.alias("old"), G.amount_context(F.col("t")).alias("new"))
     assert both.where("old <> ''").count() > 2000 and both.where("not old <=> new").collect() == []
+
+
+def test_lookup_asks_both_sides_labels(spark):
+    a, b = "GB29NWBK60161331926819", "DE89370400440532013000"
+    cases = [
+        (f"Payer: {a}\nPayee: {b}", (True, True, False, False)), (f"Payer: {b}\nPayee: {a}", (False, False, True, True)), (f"Debtor: {b}\nCreditor: {b}", (True, False, False, False)),
+        (f"Payer of beneficiary: {b}\nPayee: {a}", (False, False, True, True)), (f"Account: {b}", (False, False, False, False)), ("", (False, False, False, False)),
+    ]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = G.with_lookup(rows, F.col("t"), F.lit("GB29 NWBK 6016 1331 9268 19"), F.lit(b)).orderBy("i").collect()
+    assert [tuple(r)[2:] for r in got] == [w for _, w in cases]
