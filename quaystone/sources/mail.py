@@ -5,6 +5,7 @@ from __future__ import annotations
 import email
 from collections.abc import Iterator
 from email.policy import default
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,9 +20,26 @@ PART = pa.schema([("id", pa.int64()), ("part_no", pa.int32()), ("kind", pa.strin
 PART_DDL = "id long, part_no int, kind string, filename string, media_type string, content binary, texts array<struct<html: boolean, text: string>>, notes array<string>"
 
 
+#: Headers of at most so many characters are kept as parsed, and at most so many of them in a worker.
+LONGEST, KEPT = 1000, 4096
+
+
+@lru_cache(KEPT)
+def _parsed(name: str, value: str) -> str:
+    return default.header_factory(name, value)
+
+
+def _header(name: str, value: str) -> str:
+    """A header as the policy parses it, which depends on its name and value alone; a message parses it anew each time that it is asked."""
+    return _parsed(name, value) if len(value) <= LONGEST else default.header_factory(name, value)
+
+
+POLICY = default.clone(header_factory=_header)
+
+
 def parts(data: bytes) -> Iterator[tuple]:
     """The body (0, 'text') with all its texts in order, then the attachments (from 1 on). What cannot be decoded leaves a note on the body."""
-    msg = email.message_from_bytes(data, policy=default)
+    msg = email.message_from_bytes(data, policy=POLICY)
     texts, notes, attached = [], [], []
     for p in msg.walk():
         kind = p.get_content_type()
